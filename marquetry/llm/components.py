@@ -22,9 +22,10 @@ def components(edges: DataFrame, a: str, b: str, cell_edges: int = CELL_EDGES, m
     Null ends, self links and repeats are no links; an empty table gives no rows.
 
     Vertices are hashed into blocks, an edge belongs to the cell of its two blocks, so the links of a hot record spread over a
-    row and a column of cells. Each cell runs a union-find of its own and gives every vertex its local representative. A vertex meets its
-    representatives of all cells of its row and column (at most twice the number of blocks), and links them to the smallest. Those links
-    are the next round's edges; it is over when no vertex has two representatives. Rounds are cut by written tables.
+    row and a column of cells. Each cell runs a union-find of its own and gives every vertex its local representative. A vertex meets the
+    representatives of its row and column, links them to the smallest, and is itself linked to what each of them moved to. Those links are the next round's edges; it is over when no vertex has two representatives.
+    Links to a representative that stays need no exchange, so the members of a large finished group are not joined
+    again; where a large one moves, the adaptive skew join splits it. Rounds are cut by written tables.
     """
     links = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     state = materialise(links.distinct(), "links")
@@ -33,12 +34,15 @@ def components(edges: DataFrame, a: str, b: str, cell_edges: int = CELL_EDGES, m
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))  # noqa: E731, B023
         cells = state.select("u", "v", F.least(block("u"), block("v")).alias("row"), F.greatest(block("u"), block("v")).alias("col"))
         local = cells.groupBy("row", "col").applyInArrow(_local_union_find, "v string, rep string")
-        met = local.groupBy("v").agg(F.min("rep").alias("low"), F.collect_set("rep").alias("reps"))
-        known = materialise(met.withColumn("open", F.size("reps") > 1), "reps")
-        if known.where("open").isEmpty():
+        met = materialise(local, "met")
+        known = materialise(met.groupBy("v").agg(F.min("rep").alias("low"), F.max("rep").alias("high")), "reps")
+        if known.where("low < high").isEmpty():
             return known.select(F.col("low").alias("group_id"), F.col("v").alias("record_id"))
-        stars = known.select(F.explode(F.array_union(F.array("v"), "reps")).alias("v"), F.col("low").alias("u")).where(F.col("u") != F.col("v"))
-        state = materialise(stars.select("u", "v").distinct(), "links")
+        moved = known.where("low < v").select(F.col("v").alias("rep"), F.col("low").alias("to"))
+        followed = met.join(moved, "rep", "left").select(F.coalesce("to", "rep").alias("u"), "v")
+        torn = known.where("low < high").select("v", F.col("low").alias("u"))
+        hooked = met.join(torn, "v").select("u", F.col("rep").alias("v"))
+        state = materialise(followed.unionByName(hooked).where(F.col("u") != F.col("v")).distinct(), "links")
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 

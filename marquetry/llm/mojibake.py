@@ -29,6 +29,9 @@ PRIOR = -5.0
 #: By so much must a restored word be more typical, in nats per bigram, where any byte would decode.
 LEGACY_MARGIN = 1.0
 
+#: Documents of the fit that hold a well-known word.
+KNOWN = 20
+
 _WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 _PIECE = 48
 
@@ -161,7 +164,12 @@ class Classifier:
                     if further == "restored":
                         return "restored", deeper
                 return "restored", back
-        if len(self.classes) > 1 and s[1:].max() > s[0] + LOSSY_MARGIN:
+        for chain in CHAINS if sum(not ch.isascii() for ch in word) else ():  # few bytes of a legacy encoding: the original must be a well-known word
+            back = restore(word, chain) if chain[0] != "utf-8" else None
+            if back and _readable(back) and self.known.get(back, 0) > max(KNOWN, 3 * self.known.get(word, 0)):
+                return "restored", back
+        utf8 = [k for k, chain in enumerate(self.classes) if chain and chain[0] == "utf-8"]
+        if utf8 and s[utf8].max() > s[0] + LOSSY_MARGIN:
             for chain in CHAINS[:3] if depth > 1 else ():  # more than twice garbled
                 back = restore(word, chain) if chain[0] == "utf-8" else None
                 if back and _readable(back) and (further := self.verdict(back, depth - 1, legacy))[0] == "restored":
