@@ -166,7 +166,7 @@ class Classifier:
                 return "restored", back
         for chain in CHAINS if sum(not ch.isascii() for ch in word) else ():  # few bytes of a legacy encoding: the original must be a well-known word
             back = restore(word, chain) if chain[0] != "utf-8" else None
-            if back and _readable(back) and self.known.get(back, 0) > max(KNOWN, 3 * self.known.get(word, 0)):
+            if back and len(back) > 3 and _readable(back) and self.known.get(back, 0) > max(KNOWN, 3 * self.known.get(word, 0)):
                 return "restored", back
         utf8 = [k for k, chain in enumerate(self.classes) if chain and chain[0] == "utf-8"]
         if utf8 and s[utf8].max() > s[0] + LOSSY_MARGIN:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquetry.llm.addresses import same_addresses
 from marquetry.llm.components import components
 from marquetry.llm.mojibake import find_garbled
 from marquetry.llm.topn import top_n
@@ -20,6 +21,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.select(F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), "event_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of venue records at one location."""
+    pairs = same_addresses(table(spark, folder, "venues"), "id", "address", ["name", "canonical_name"])
+    return pairs.select(F.col("a").alias("venue_a"), F.col("b").alias("venue_b"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each linked record with the smallest record id of its group."""
     return components(table(spark, folder, "dedup_decisions").where(F.col("verdict") == "merged"), "record_a", "record_b")
@@ -35,7 +42,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return find_garbled(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p9_found": p9_found, "p9_restored": p9_restored}
 
 ORACLES = {
     "p1_found": """
