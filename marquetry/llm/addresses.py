@@ -63,8 +63,21 @@ def parse(tokens: list[str], towns: dict[str, str]) -> dict[str, str] | None:
             words.append(tokens[i])
             i += 1
     is_unit = lambda j: 0 <= j < len(words) and words[j] in UNITS
-    code = next((w for w in reversed(words) if re.fullmatch(r"\d{5}", w)), None)
-    at = next((j for j, w in enumerate(words) if re.fullmatch(r"\d{1,4}[a-z]?", w) and not is_unit(j - 1)), None)
+
+    def leads_to_type(j: int) -> bool:
+        for w in words[j + 1 : j + 6]:
+            if w in _TYPE:
+                return True
+            if not w.isalnum() or w in _STATE:
+                return False
+        return False
+
+    digits = [j for j, w in enumerate(words) if re.fullmatch(r"\d{1,5}[a-z]?", w)]
+    short = [j for j in digits if not re.fullmatch(r"\d{5}", words[j])]
+    at = next((j for j in short if not is_unit(j - 1)), None)
+    if at is None:  # a number right after a unit, or one as long as a postal code
+        at = next((j for j in short + [j for j in digits if j not in short] if leads_to_type(j)), None)
+    code = next((words[j] for j in reversed(digits) if j != at and re.fullmatch(r"\d{5}", words[j])), None)
     if at is None:
         at = next((j for j, w in enumerate(words) if w in _NUMBER and j + 1 < len(words) and words[j + 1].isalnum()), None)
     if at is None:
