@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from marquetry.llm.addresses import same_addresses
 from marquetry.llm.components import components
+from marquetry.llm.incremental import first_listings
 from marquetry.llm.mojibake import find_garbled
 from marquetry.llm.topn import top_n
+from marquetry.operators.timestamps import normalise_fields
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +29,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("venue_a"), F.col("b").alias("venue_b"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each later listing of a happening with the listing accepted first."""
+    rows = table(spark, folder, "event_candidates").select("id", "source", "title", "venue", "location", "start_time", "discovered_at")
+    rows = rows.where(F.col("title").isNotNull() & F.col("venue").isNotNull() & F.col("start_time").isNotNull())
+    starts = normalise_fields(rows.withColumn("row", F.struct("id", "title", "venue", "location", "discovered_at")), "row", ["start_time"], table(spark, folder, "source_zones"), seen="discovered_at")
+    listings = starts.where(F.col("utc_us").isNotNull()).select("row.id", "row.title", "row.venue", F.col("row.location").alias("town"), F.col("utc_us").alias("start_us"), F.col("row.discovered_at").cast("timestamp").alias("at"))
+    pairs = first_listings(listings)
+    return pairs.select(F.least("later", "first").alias("candidate_a"), F.greatest("later", "first").alias("candidate_b"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each linked record with the smallest record id of its group."""
     return components(table(spark, folder, "dedup_decisions").where(F.col("verdict") == "merged"), "record_a", "record_b")
@@ -42,7 +54,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return find_garbled(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found, "p9_restored": p9_restored}
 
 ORACLES = {
     "p1_found": """
