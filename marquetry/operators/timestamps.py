@@ -198,7 +198,7 @@ def normalise_fields(rows: DataFrame, key: str, fields: list[str], zones: DataFr
     ``zones(source, tz_name, date_order)`` is broadcast: it holds one short row per feed. Repeated rows come out repeated;
     a null source is read as UTC with month first.
     """
-    known = complete_zones(rows, zones, "raw_published_at" if "raw_published_at" in rows.columns else fields[0], seen)
+    known = complete_zones(rows, zones, "raw_published_at" if "raw_published_at" in rows.columns else fields[0], seen).select("source", "tz_name", "date_order")
     names = [r[0] for r in known.select("tz_name").distinct().limit(600).collect()]
     table = abbreviation_table(rows.sparkSession, names)
     stacked = rows.select(key, "source", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x")).select(key, "source", "x.*").where(F.col("text").isNotNull())
