@@ -33,6 +33,11 @@ JOINERS = {"w": "with", "feat": "with", "ft": "with", "featuring": "with", "plus
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 
 
+# Short forms of what a venue is.
+KINDS = {"theater": "theatre", "thtr": "theatre", "centre": "center", "ctr": "center", "cntr": "center", "rm": "room", "pub": "pub"}
+_ANNOUNCED = re.compile(r"\b(?:" + "|".join(PREFIXES) + r")\s*[:!]")
+
+
 def plain(text: str) -> str:
     text = html.unescape(text).casefold().replace("’", "'").translate(_LETTERS)
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
@@ -66,15 +71,16 @@ def billing(title: str, venue: str) -> tuple[list[str], bool]:
         m = re.match(r"^(.+?)\s*[-–—|:]\s*([^-–—|:]+)$", t)
         if m and " ".join(words(m[2])) in SUFFIXES:
             t, changed = m[1], True
-    out = [JOINERS.get(w, w) for w in words(t.replace("&", " and ").replace("+", " and "))]
-    return out, cut
+    t = _ANNOUNCED.sub(" ", t)
+    found = words(t.replace("&", " and ").replace("+", " with "))
+    return [w if cut and i == len(found) - 1 else JOINERS.get(w, w) for i, w in enumerate(found)], cut
 
 
 def place(venue: str) -> list[str]:
     """The words of a venue's name, without the article and without a town after a dash."""
     v = re.sub(r"\s[-–—|]\s[^-–—|]*$", "", plain(venue))
     v = re.sub(r"^(.*), (the|a|an)$", r"\2 \1", v)
-    found = [{"theater": "theatre", "centre": "center"}.get(w, w) for w in words(v.replace("&", " and "))]
+    found = [KINDS.get(w, w) for w in words(v.replace("&", " and "))]
     return found[1:] if len(found) > 1 and found[0] in ("the", "a", "an") else found
 
 
@@ -119,6 +125,16 @@ def same_words(a: list[str], b: list[str], typos: int = 2) -> bool:
     return True
 
 
+def same_place(a: list[str], b: list[str]) -> bool:
+    """The same venue's name; what it is, the last word, may be shortened or end otherwise (gall., brewing and brewery)."""
+    if same_words(a, b):
+        return True
+    if len(a) != len(b) or len(a) < 2:
+        return False
+    u, v = sorted((a[-1], b[-1]), key=len)
+    return (len(u) >= 3 and v.startswith(u) or len(u) >= 5 and u[:4] == v[:4]) and same_words(a[:-1], b[:-1], 1)
+
+
 def _joined(a: list[str], b: list[str]) -> bool:
     return abs(len(a) - len(b)) == 1 and "".join(a) == "".join(b)
 
@@ -129,6 +145,9 @@ def same_billing(a: list[str], cut_a: bool, b: list[str], cut_b: bool) -> bool:
         (x, y) = (a, b) if (cut_a and (not cut_b or len(" ".join(a)) <= len(" ".join(b)))) else (b, a)
         if not x:
             return False
+        turned = y[y.index("with") + 1 :] + ["with"] + y[: y.index("with")] if "with" in y else y
+        if turned[0] == x[0] != y[0]:
+            y = turned
         head, n = y[: len(x)], len(x)
         if len(head) < n:
             return False
@@ -232,7 +251,7 @@ def _matches(window_us: int):
                     continue
                 if towns[a] and towns[b] and towns[a] != towns[b] and not set(words(towns[a])) & set(w for w in words(towns[b]) if len(w) > 2):
                     continue
-                if same_words(ps[a], ps[b]) and same_billing(ws[a], cuts[a], ws[b], cuts[b]):
+                if same_place(ps[a], ps[b]) and same_billing(ws[a], cuts[a], ws[b], cuts[b]):
                     out.add(pair)
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype=object)
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from marquetry.llm.addresses import same_addresses
 from marquetry.llm.components import components
 from marquetry.llm.incremental import first_listings
+from marquetry.llm.mixing import mix
 from marquetry.llm.mojibake import find_garbled
+from marquetry.llm.packing import pack
+from marquetry.llm.tokens import count_tokens
 from marquetry.llm.topn import top_n
 from marquetry.operators.timestamps import normalise_fields
 
@@ -44,6 +47,36 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return components(table(spark, folder, "dedup_decisions").where(F.col("verdict") == "merged"), "record_a", "record_b")
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in a container of each kind; only documents larger than the container are split."""
+    sizes = count_tokens(table(spark, folder, "documents"), "doc_id", "text")
+    kinds = table(spark, folder, "container_sizes").select("container_kind", F.col("capacity_tokens").alias("capacity"))
+    return pack(sizes, kinds, "doc_id", "tokens")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and fill of each kind, beside the fewest containers possible."""
+    kinds = table(spark, folder, "container_sizes")
+    used = p7_containers(spark, folder).groupBy("container_kind").agg(F.count_distinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    return used.join(kinds, "container_kind").select("container_kind", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the mix with their numbers of copies."""
+    return _mixed(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in the mix."""
+    return _mixed(spark, folder)[1]
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, folder, "mix_targets")
+    documents = table(spark, folder, "documents").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")  # a row per source of the mix
+    return mix(count_tokens(documents, "doc_id", "text", ["source"]), targets, "doc_id")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold garbled text."""
     return find_garbled(table(spark, folder, "documents")).select("doc_id").distinct()
@@ -54,7 +87,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return find_garbled(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 
 ORACLES = {
     "p1_found": """
