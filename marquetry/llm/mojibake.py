@@ -32,7 +32,8 @@ LEGACY_MARGIN = 1.0
 #: Documents of the fit that hold a well-known word.
 KNOWN = 20
 
-_WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+# anchored at the start of a word and possessive, so that a long word without such characters is read once
+_WORD = re.compile(r"(?<![^ \t\r\n])[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*+[^\x00-\x7f][^ \t\r\n]*")
 _PIECE = 48
 
 
