@@ -96,7 +96,7 @@ def merge_clusters(rows: DataFrame, members: DataFrame, key: str, fields: list[s
     """One row per cluster: the member with the fewest nulls (ties: earliest, then smaller key) wins, and each of its nulls is
     filled from the next best. ``min_by`` with a filter does it in one aggregation, so no cluster is gathered."""
     nulls = sum((F.col(f).isNull().cast("int") for f in fields), F.lit(0))
-    joined = rows.join(members, rows[key] == members["id"]).withColumn("__order", F.struct(nulls.alias("n"), F.col(created), F.col(key)))
+    joined = rows.join(members.select(F.col("id").alias("__id"), "cluster"), F.col(key) == F.col("__id")).withColumn("__order", F.struct(nulls.alias("n"), F.col(created), F.col(key)))
     best = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("__order"))).alias(f) for f in fields]
     return joined.groupBy("cluster").agg(F.min_by(key, "__order").alias("winner"), F.count(F.lit(1)).alias("members"), *best)
 

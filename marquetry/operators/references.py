@@ -76,4 +76,5 @@ def _and_not(maps: pd.DataFrame) -> pd.DataFrame:
         open_bits = np.flatnonzero(np.unpackbits(bits & ~sure, bitorder="little"))
         if len(open_bits):
             found.append(pd.DataFrame({"range": maps.range.iloc[0], "part": maps.part.iloc[0], "ref_table": table, "ref_field": field, "month": month, "bit": open_bits}))
-    return pd.concat(found) if found else pd.DataFrame({"range": [], "part": [], "ref_table": [], "ref_field": [], "month": [], "bit": []}).astype({"range": "int32", "part": "int32", "bit": "int64"})
+    kinds = {"range": "int32", "part": "int32", "ref_table": object, "ref_field": object, "month": object, "bit": "int64"}
+    return pd.concat(found)[list(kinds)].astype(kinds) if found else pd.DataFrame({c: pd.Series(dtype=k) for c, k in kinds.items()})

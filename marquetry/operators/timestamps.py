@@ -185,9 +185,9 @@ def complete_zones(rows: DataFrame, zones: DataFrame, local_field: str, seen: st
     if missing.isEmpty():
         return declared
     candidates = [r[0] for r in declared.select("tz_name").distinct().limit(600).collect()] or ["UTC"]
-    open_rows = rows.join(missing, "source", "left_semi").withColumn("__order", F.lit("mdy")).withColumn("__zone", F.lit("UTC"))
-    naive = to_instants(open_rows.where(~F.col(local_field).rlike(r"(?i)(z|utc|gmt|[+-]\d{2}:?\d{2}|[a-z]{3})\s*$|^\s*\d{9,}\s*$|/[a-z_]+")), local_field, "__order", "__zone", out="__local")
-    seen_rows = naive.select("source", F.timestamp_micros("__local").alias("local"), F.unix_micros(F.col(seen).cast("timestamp")).alias("seen_us"))
+    open_rows = rows.join(missing, "source", "left_semi").withColumn("assumed_order", F.lit("mdy")).withColumn("assumed_zone", F.lit("UTC"))
+    naive = to_instants(open_rows.where(~F.col(local_field).rlike(r"(?i)(z|utc|gmt|[+-]\d{2}:?\d{2}|[a-z]{3})\s*$|^\s*\d{9,}\s*$|/[a-z_]+")), local_field, "assumed_order", "assumed_zone", out="local_us")
+    seen_rows = naive.select("source", F.timestamp_micros("local_us").alias("local"), F.unix_micros(F.col(seen).cast("timestamp")).alias("seen_us"))
     guessed = missing.join(estimate_zones(seen_rows, "source", "local", "seen_us", candidates), "source", "left")
     return declared.unionByName(guessed.select("source", F.coalesce("zone", F.lit("UTC")).alias("tz_name"), F.lit("mdy").alias("date_order")))
 
