@@ -161,22 +161,44 @@ def abbreviation_table(spark: SparkSession, zones: list[str]) -> DataFrame:
     return spark.createDataFrame(abbreviation_offsets(zones), "zone string, abbreviation string, minutes int")
 
 
-def estimate_zones(df: DataFrame, source: str, local: str, seen_us: str, candidates: list[str], tolerance_s: int = 0) -> DataFrame:
-    """For each source, the zone whose offset history fits its wall-clock readings to the times they were seen.
+#: A wall-clock text: one that states no zone, is no count of seconds and no date alone.
+_STATES_ZONE = r"(?i)(z|utc|gmt|[+-]\d{2}:?\d{2}|\d ?[a-z]{3}|m\.? [a-z]{3})\s*$|^\s*-?\d{8,}\s*$|/[a-z_]+|^\s*\d{4}-\d\d-\d\d\s*$"
 
-    ``local`` is a timestamp holding the wall clock, ``seen_us`` the instant of ingestion. A reading that would lie after it was seen
-    violates; the zone with the fewest violations is chosen, among equals the one with the smallest lag in total, then
-    the smaller name. Null readings and null times are left out; a source without any gets no row.
-    Rows are pre-aggregated to (source, reading's hour and lag) per zone before the shuffle, which carries a row per source and zone.
+
+def estimate_zones(df: DataFrame, source: str, local: str, other_us: str, candidates: list[str], after: str | None = None) -> DataFrame:
+    """For each source, the zone whose offset history fits its wall-clock readings to known instants.
+
+    ``local`` is a timestamp holding the wall clock, ``other_us`` an instant the reading lies before, such as that of ingestion or of the
+    event's end; where the boolean column ``after`` holds it lies after it. A reading on the wrong side, or at the instant itself, violates; the zone with
+    the fewest violations is chosen, among equals the one with the least distance in total, then the smaller name. Null readings and instants are left
+    out; a source without any gets no row. Every reading is tried with every candidate and reduced to sums per source and zone before the shuffle.
     """
     zones = F.explode(F.array(*[F.lit(z) for z in sorted(set(candidates))]))
-    lag = (F.col(seen_us) - F.unix_micros(F.to_utc_timestamp(F.col(local), F.col("zone")))) / F.lit(1_000_000.0)
-    lags = df.where(F.col(local).isNotNull() & F.col(seen_us).isNotNull()).select(source, local, seen_us, zones.alias("zone")).withColumn("lag", lag)
-    fits = lags.groupBy(source, "zone").agg(F.sum(F.when(F.col("lag") < -tolerance_s, 1).otherwise(0)).alias("violations"), F.sum(F.abs("lag")).alias("total_lag"), F.count(F.lit(1)).alias("readings"))
+    sign = F.when(F.col(after), -1).otherwise(1) if after else F.lit(1)
+    lag = sign * (F.col(other_us) - F.unix_micros(F.to_utc_timestamp(F.col(local), F.col("zone")))) / F.lit(1_000_000.0)
+    kept = [source, local, other_us] + ([after] if after else [])
+    lags = df.where(F.col(local).isNotNull() & F.col(other_us).isNotNull()).select(*kept, zones.alias("zone")).withColumn("lag", lag)
+    fits = lags.groupBy(source, "zone").agg(F.sum(F.when(F.col("lag") <= 0, 1).otherwise(0)).alias("violations"), F.sum(F.abs("lag")).alias("total_lag"), F.count(F.lit(1)).alias("readings"))
     best = F.min_by(F.struct("zone", "violations", "readings"), F.struct("violations", "total_lag", "zone")).alias("b")
     return fits.groupBy(source).agg(best).select(source, F.col("b.zone").alias("zone"), F.col("b.violations").alias("violations"), F.col("b.readings").alias("readings"))
 
 
+def sequences(rows: DataFrame, zones: DataFrame, candidates: list[str]) -> DataFrame:
+    """(source, local, other_us, after): wall-clock starts beside ends with a stated zone, and the other way round.
+
+    ``zones(source, tz_name, date_order)``; only the order is used. Rows repeat as in the input.
+    """
+    table = abbreviation_table(rows.sparkSession, candidates)
+    ordered = rows.select("source", "start_time", "end_time").join(F.broadcast(zones.select("source", F.coalesce("date_order", F.lit("mdy")).alias("assumed_order"), F.lit("UTC").alias("assumed_zone"))), "source")
+    out = None
+    for naive, stated, after in (("start_time", "end_time", False), ("end_time", "start_time", True)):
+        pairs = ordered.where(F.col(naive).rlike(r"\d.*\d") & ~F.col(naive).rlike(_STATES_ZONE) & F.col(stated).rlike(_STATES_ZONE) & ~F.col(stated).rlike(r"^\s*\d{8}\s*$|^\s*\d{4}-\d\d-\d\d\s*$|(?i)[a-z]{3}\s*$"))
+        read = to_instants(to_instants(pairs, naive, "assumed_order", "assumed_zone", table, "local_us"), stated, "assumed_order", "assumed_zone", table, "other_us")
+        part = read.select("source", F.timestamp_micros("local_us").alias("local"), "other_us", F.lit(after).alias("after"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def complete_zones(rows: DataFrame, zones: DataFrame, local_field: str, seen: str) -> DataFrame:
     """``zones(source, tz_name, date_order)`` with a row for every source of ``rows``: an undeclared zone is estimated from
     the wall-clock readings of ``local_field`` against ``seen``; where that is impossible it is UTC. A declared zone always stands."""
@@ -186,9 +208,11 @@ def complete_zones(rows: DataFrame, zones: DataFrame, local_field: str, seen: st
         return declared
     candidates = [r[0] for r in declared.select("tz_name").distinct().limit(600).collect()] or ["UTC"]
     open_rows = rows.join(missing, "source", "left_semi").withColumn("assumed_order", F.lit("mdy")).withColumn("assumed_zone", F.lit("UTC"))
-    naive = to_instants(open_rows.where(~F.col(local_field).rlike(r"(?i)(z|utc|gmt|[+-]\d{2}:?\d{2}|[a-z]{3})\s*$|^\s*\d{9,}\s*$|/[a-z_]+")), local_field, "assumed_order", "assumed_zone", out="local_us")
-    seen_rows = naive.select("source", F.timestamp_micros("local_us").alias("local"), F.unix_micros(F.col(seen).cast("timestamp")).alias("seen_us"))
-    guessed = missing.join(estimate_zones(seen_rows, "source", "local", "seen_us", candidates), "source", "left")
+    naive = to_instants(open_rows.where(F.col(local_field).rlike(r"\d.*\d") & ~F.col(local_field).rlike(_STATES_ZONE)), local_field, "assumed_order", "assumed_zone", out="local_us")
+    readings = naive.select("source", F.timestamp_micros("local_us").alias("local"), F.unix_micros(F.col(seen).cast("timestamp")).alias("other_us"), F.lit(False).alias("after"))
+    if {"start_time", "end_time"} <= set(rows.columns):
+        readings = readings.unionByName(sequences(open_rows, missing.select("source", F.lit("mdy").alias("date_order")), candidates))
+    guessed = missing.join(estimate_zones(readings, "source", "local", "other_us", candidates, "after"), "source", "left")
     return declared.unionByName(guessed.select("source", F.coalesce("zone", F.lit("UTC")).alias("tz_name"), F.lit("mdy").alias("date_order")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.operators.references import failed_references
-from marquetry.operators.timestamps import CANONICAL, estimate_zones, normalise_fields, to_instants
+from marquetry.operators.timestamps import CANONICAL, estimate_zones, normalise_fields, sequences
 
 TIME_FIELDS = ["start_time", "end_time", "raw_published_at"]
 
@@ -24,15 +24,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_zone_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    """The zone estimated for each source from its wall-clock publication times, beside the declared one."""
+    """The zone estimated for each source from the order of its listings' starts and ends, beside the declared one."""
     zones = table(spark, folder, "source_zones")
-    rows = table(spark, folder, "event_candidates").select("id", "source", "discovered_at", "raw_published_at").where(F.col("raw_published_at").rlike(r"\d"))
-    joined = rows.join(F.broadcast(zones), "source").withColumn("utc", F.lit("UTC"))
-    naive = joined.where(~F.col("raw_published_at").rlike(r"(?i)(z|utc|gmt|[+-]\d{2}:?\d{2}|\d ?[a-z]{3}|m\.? [a-z]{3})\s*$|^\s*\d{9,}\s*$|/[a-z_]+|^\s*\d{8}\s*$|^\s*\d{4}-\d\d-\d\d\s*$"))
-    local = to_instants(naive, "raw_published_at", "date_order", "utc", out="local_us")
-    seen = local.select("source", "tz_name", F.timestamp_micros("local_us").alias("local"), F.unix_micros(F.col("discovered_at").cast("timestamp")).alias("seen_us"))
     candidates = [r[0] for r in zones.select("tz_name").distinct().limit(600).collect()]
-    found = estimate_zones(seen, "source", "local", "seen_us", candidates)
+    readings = sequences(table(spark, folder, "event_candidates").select("source", "start_time", "end_time"), zones, candidates)
+    found = estimate_zones(readings, "source", "local", "other_us", candidates, "after")
     return zones.select("source", "tz_name").join(found, "source", "left").select("source", F.col("tz_name").alias("declared_zone"), F.col("zone").alias("estimated_zone"), "violations", "readings")
 
 
