@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from marquetry.operators.lineage import materialise
 
 #: Starts at most so far apart can be one happening.
 WINDOW_US = 2 * 3_600_000_000
+#: Length of a segment of the history, by start.
+SEGMENT_US = 24 * 3_600_000_000
 #: Vectors of one shard at most; a fuller slot is spread over several shards, all of which are probed.
 SHARD = 20_000
 #: Retrieval threshold of the index; the reranking decides.
@@ -164,16 +167,21 @@ def same_billing(a: list[str], cut_a: bool, b: list[str], cut_b: bool) -> bool:
     return same_words(a, b)
 
 
+@lru_cache(maxsize=100_000)
+def _word_vector(word: str, dims: int) -> np.ndarray:
+    v = np.zeros(dims, np.float32)
+    p = f" {word} "
+    for i in range(len(p) - 2):
+        h = zlib.crc32(p[i : i + 3].encode())
+        v[h % dims] += 1 if h >> 16 & 1 else -1
+    return v
+
+
 def vector(title: list[str], venue: list[str], title_dims: int = 64, venue_dims: int = 32) -> np.ndarray:
     """Hashed letter trigrams of the billing's words in any order beside those of the venue's, each of unit length over the root of two."""
     parts = []
     for ws, dims in ((title, title_dims), (venue, venue_dims)):
-        v = np.zeros(dims, np.float32)
-        for w in ws:
-            p = f" {w} "
-            for i in range(len(p) - 2):
-                h = zlib.crc32(p[i : i + 3].encode())
-                v[h % dims] += 1 if h >> 16 & 1 else -1
+        v = np.sum([_word_vector(w, dims) for w in ws], axis=0, dtype=np.float32) if ws else np.zeros(dims, np.float32)
         norm = np.linalg.norm(v)
         parts.append(v / norm if norm else v)
     return np.concatenate(parts) / np.float32(np.sqrt(2))
@@ -185,25 +193,27 @@ def first_listings(listings: DataFrame, window_us: int = WINDOW_US, shard: int =
     ``listings(id, title, venue, town, start_us, at)``: ``at`` is the time of discovery. Of rows repeated under one id the earliest
     counts. Rows without id, title, venue, start or time are left out, as are titles and venues without a word. Equal times go to the smaller id.
 
-    Rows that agree in canonical billing, place and start are one vector. The history is segmented by the hours of the start; each
+    Rows that agree in canonical billing, place and start are one vector. The history is segmented by the day of the start; each
     segment holds one small-world graph per generation of batches, to which compaction has brought the batches' own shards. A row
-    probes the shards of its segment and the one before, with a beam tuned against exhaustive search until it finds 99 of 100 and widened while all it
+    probes the shards of its segment, and those of the one before if that ended within the window, with a beam tuned against exhaustive search until it finds 99 of 100 and widened while all it
     holds is similar; what it meets is decided by the words themselves. A segment beyond ``shard`` vectors is spread over several shards.
     """
+    segment = max(SEGMENT_US, window_us)
     rows = listings.where(F.col("id").isNotNull() & F.col("title").isNotNull() & F.col("venue").isNotNull() & F.col("start_us").isNotNull() & F.col("at").isNotNull())
     canonical = rows.mapInPandas(_canonical, "id string, at timestamp, start_us long, town string, words array<string>, cut boolean, place array<string>")
     canonical = canonical.groupBy("id", "words", "cut", "place", "town", "start_us").agg(F.min("at").alias("at"))
     canonical = materialise(canonical, "listings")
     copies = canonical.groupBy("words", "cut", "place", "town", "start_us").agg(F.min(F.struct("at", "id")).alias("f"))
-    copies = copies.select(F.col("f.id").alias("id"), F.col("f.at").alias("at"), "words", "cut", "place", "town", "start_us", F.floor(F.col("start_us") / window_us).alias("slot"))
+    copies = copies.select(F.col("f.id").alias("id"), F.col("f.at").alias("at"), "words", "cut", "place", "town", "start_us", F.floor(F.col("start_us") / segment).alias("slot"))
     copies = materialise(copies, "copies")
     sizes = copies.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards"))
     generation = F.floor(F.months_between("at", F.lit("1970-01-01").cast("timestamp")) / generation_months).cast("int").alias("generation")
     part = F.pmod(F.xxhash64("id"), F.col("shards"))
     base = copies.select("*", generation)
     stored = base.join(sizes, "slot").select("*", part.alias("shard"), F.lit(True).alias("stored")).drop("shards")
-    # every row probes its own segment and the one before; the pair is met from one side at least
-    probes = base.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") - 1))).join(sizes, "slot")
+    # every row probes its own segment and, if near, the one before; the pair is met from the later side at least
+    near = F.col("start_us") - F.col("slot") * segment <= window_us
+    probes = base.withColumn("slot", F.explode(F.when(near, F.array(F.col("slot"), F.col("slot") - 1)).otherwise(F.array("slot")))).join(sizes, "slot")
     probes = probes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(*[F.col(c) for c in base.columns], F.col("shard").cast("bigint"), F.lit(False).alias("stored"))
     links = stored.unionByName(probes).groupBy("slot", "shard").applyInPandas(_matches(window_us), "a string, b string")
     links = materialise(links.distinct(), "same-happening")
@@ -233,7 +243,12 @@ def _canonical(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _matches(window_us: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([vector(list(w), list(p)) for w, p in zip(group.words, group.place)])
+        keys = list(zip(group.id, map(tuple, group.words)))  # a row comes once to be stored and once or twice to probe
+        seen: dict[tuple, np.ndarray] = {}
+        for key, w, p in zip(keys, group.words, group.place):
+            if key not in seen:
+                seen[key] = vector(list(w), list(p))
+        x = np.stack([seen[key] for key in keys])
         ids, at, towns = group.id.to_numpy(), group.start_us.to_numpy(), group.town.to_numpy()
         ws, ps, cuts = [list(w) for w in group.words], [list(p) for p in group.place], group.cut.to_numpy()
         stored, gens = group.stored.to_numpy(), group.generation.to_numpy()
