@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -102,6 +103,12 @@ class Classifier:
 
     def __init__(self, table: np.ndarray, classes: list[tuple[str, str] | None], known: dict[str, int]):
         self.table, self.classes, self.known = table, classes, known
+        self.often = sorted(w for w, n in known.items() if n >= KNOWN)
+
+    def begins_often(self, word: str) -> bool:
+        """Whether a word of many documents begins so, as where a text was cut within it."""
+        i = bisect.bisect_left(self.often, word)
+        return i < len(self.often) and self.often[i].startswith(word)
 
     def scores(self, word: str) -> np.ndarray:
         found = self.table[:, buckets_of(word)].sum(axis=1)
@@ -156,7 +163,7 @@ class Classifier:
             back = restore(word, chain)
             if back is None or not _readable(back) or (chain[0] != "utf-8" and sum(not ch.isascii() for ch in word) < 2):
                 continue
-            if chain[0] != "utf-8" and self.known.get(word, 0) > self.known.get(back, 0):
+            if chain[0] != "utf-8" and (self.known.get(word, 0) > self.known.get(back, 0) or self.begins_often(word) > self.begins_often(back)):
                 continue  # more documents have it so than otherwise
             # the inversion must leave text that is more like sound text, by its own characters
             if back.isascii() or self.typical(back) > self.typical(word) + (0 if chain[0] == "utf-8" else legacy):
