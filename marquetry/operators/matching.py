@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from marquetry.functions.numeric import cosine
 from marquetry.functions.text import canonical_title, canonical_venue
 from marquetry.operators.lineage import materialise
 
@@ -116,3 +117,11 @@ def cluster_supersession(members: DataFrame, winners: DataFrame, pairs: DataFram
     scored = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("similarity"))
     at = (F.least("id", "winner") == F.col("a")) & (F.greatest("id", "winner") == F.col("b"))
     return losers.join(scored, at, "left").select("id", F.col("winner").alias("superseded_by"), "similarity")
+
+
+def semantic_pairs(pairs: DataFrame, vectors: DataFrame, key: str, vector: str, least: float = 0.92) -> DataFrame:
+    """(a, b, score, verdict) of guarded pairs by the cosine of their vectors; a missing vector is incomparable and leaves the pair out."""
+    v = vectors.select(F.col(key).alias("__k"), F.col(vector).alias("__v")).dropDuplicates(["__k"])
+    left = pairs.select("a", "b").join(v, F.col("a") == F.col("__k")).select("a", "b", F.col("__v").alias("__va"))
+    both = left.join(v, F.col("b") == F.col("__k")).withColumn("score", cosine(F.col("__va"), F.col("__v")))
+    return both.select("a", "b", "score", F.when(F.col("score") >= least, "merged").otherwise("distinct").alias("verdict"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.functions.numeric import expected_tags, huber
+from marquetry.functions.text import hash_bucket
 
 
 def source_multipliers(df: DataFrame, source: str, actual: Column, predicted: Column, shrink: int = 5) -> DataFrame:
@@ -52,3 +53,17 @@ def latch(churn: DataFrame, part: str, least_rate: float = 0.5, least_evidence:
     good = churn.where((F.col("seen") > 0) & (F.col("churned") / F.col("seen") >= least_rate))
     g = good.groupBy(part).agg(F.sum("churned").alias("evidence"), F.count(F.lit(1)).alias("runs"))
     return g.withColumn("armed", (F.col("evidence") >= least_evidence) & (F.col("runs") >= least_runs))
+
+
+def refit_gate(df: DataFrame, key: str, chars: str, tags: str, candidate: tuple[float, float], incumbent: tuple[float, float], folds: int = 5) -> DataFrame:
+    """(candidate_loss, incumbent_loss, accepted): mean Huber losses on the fold of hash zero, which the fit does not see; the candidate must be strictly better."""
+    held = df.where((hash_bucket(F.col(key), folds) == 0) & F.col(chars).isNotNull() & F.col(tags).isNotNull())
+    loss = lambda p: F.avg(huber(F.col(tags) - expected_tags(F.col(chars), F.lit(float(p[0])), F.lit(float(p[1])))))
+    g = held.agg(loss(candidate).alias("candidate_loss"), loss(incumbent).alias("incumbent_loss"))
+    return g.withColumn("accepted", F.coalesce(F.col("candidate_loss") < F.col("incumbent_loss"), F.lit(False)))
+
+
+def drop_before(df: DataFrame, changes: DataFrame, part: str, order: list[str], at: str) -> DataFrame:
+    """The rows of each part from the position ``at`` of its change on; parts without a change stay whole."""
+    n = df.withColumn("__i", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return n.join(changes.select(part, F.col(at).alias("__at")), part, "left").where(F.col("__at").isNull() | (F.col("__i") >= F.col("__at"))).drop("__i", "__at")

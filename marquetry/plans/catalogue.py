@@ -580,3 +580,53 @@ def budget_cut(spark, folder):
     g = table(spark, folder, "event_candidates").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.desc("n"), "source").rowsBetween(Window.unboundedPreceding, 0)
     return g.select("source", "n", (F.sum("n").over(w) <= 50_000).alias("within_budget"))
+
+
+@query(f"""WITH h AS (SELECT chars, tags FROM ({_OBS}) WHERE CAST('0x' || substr(sha256(event_id), 1, 16) AS UBIGINT) % 5 = 0), r AS (SELECT abs(tags - 4.5 * (1 - exp(-chars / 140.0))) AS a, abs(tags - 3.8 * (1 - exp(-chars / 127.0))) AS b FROM h),
+    l AS (SELECT avg(CASE WHEN a <= 1.5 THEN 0.5 * a * a ELSE 1.5 * (a - 0.75) END) AS c, avg(CASE WHEN b <= 1.5 THEN 0.5 * b * b ELSE 1.5 * (b - 0.75) END) AS i FROM r) SELECT round(c, 6) AS candidate_loss, round(i, 6) AS incumbent_loss, c < i AS accepted FROM l""")
+def refit_gate(spark, folder):
+    """Whether another curve beats the present one on the held-out fold."""
+    g = statistics.refit_gate(observations(spark, folder), "event_id", "chars", "tags", (4.5, 140.0), (3.8, 127.0))
+    return g.select(r6("candidate_loss").alias("candidate_loss"), r6("incumbent_loss").alias("incumbent_loss"), "accepted")
+
+
+@query("""WITH n AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    b AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd FROM n WHERE i <= 30 GROUP BY 1 HAVING count(*) >= 30 AND stddev_pop(value) > 0),
+    s AS (SELECT event_type, i, sum((value - m) / sd - 0.5) OVER w AS u, sum((value - m) / sd + 0.5) OVER w AS d FROM n JOIN b USING (event_type) WHERE i > 30 WINDOW w AS (PARTITION BY event_type ORDER BY i)),
+    h AS (SELECT event_type, i, u - least(0, min(u) OVER w) AS hi, d - greatest(0, max(d) OVER w) AS lo FROM s WINDOW w AS (PARTITION BY event_type ORDER BY i)), c AS (SELECT event_type, min(i) AS a FROM h WHERE hi > 5 OR lo < -5 GROUP BY 1)
+    SELECT n.event_type, n.event_id FROM n LEFT JOIN c ON n.event_type = c.event_type WHERE a IS NULL OR i >= a""")
+def drop_pre_change(spark, folder):
+    """The readings of each type since its last change."""
+    e = table(spark, folder, "events")
+    changes = statistics.cusum(e, "event_type", ["ts", "event_id"], "value")
+    return statistics.drop_before(e, changes, "event_type", ["ts", "event_id"], "alarm_at").select("event_type", "event_id")
+
+
+@query()
+def semantic_dedup_pairs(spark, folder):
+    """Guarded pairs of stored events by the cosine of their titles' letter counts, a stand-in for summary vectors."""
+    e = table(spark, folder, "stored_events").where("title IS NOT NULL")
+    letters = F.array(*[F.length(F.regexp_replace(F.lower("title"), f"[^{c}]", "")).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    vectors = e.select("event_id", letters.alias("v"))
+    pairs = matching.guarded_pairs(table(spark, folder, "stored_events"), "event_id", "title", "venue", "start_time")
+    return matching.semantic_pairs(pairs, vectors, "event_id", "v").select("a", "b", r6("score").alias("score"), "verdict")
+
+
+@query("SELECT o.event_id, o.observed_at FROM (SELECT DISTINCT event_id, observed_at FROM extraction_observations) o WHERE EXISTS (SELECT 1 FROM stored_events e WHERE e.event_id = o.event_id AND e.superseded_by IS NULL)")
+def live_observations(spark, folder):
+    """Observations of live events: a semi-join."""
+    o = table(spark, folder, "extraction_observations").select("event_id", "observed_at").distinct()
+    return o.join(table(spark, folder, "stored_events").where("superseded_by IS NULL").select("event_id").distinct(), "event_id", "left_semi")
+
+
+@query("SELECT source, degradation, count(*) AS n, count(DISTINCT event_id) AS events, sum(CASE WHEN backfilled THEN 1 ELSE 0 END) AS backfilled FROM extraction_observations GROUP BY 1, 2")
+def run_summary(spark, folder):
+    o = table(spark, folder, "extraction_observations")
+    return o.groupBy("source", "degradation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"), F.sum(F.when(F.col("backfilled"), 1).otherwise(0)).alias("backfilled"))
+
+
+@query("WITH c AS (SELECT model, prompt_version, count(*) AS n, min(observed_at) AS first_seen FROM extraction_observations WHERE model IS NOT NULL AND prompt_version IS NOT NULL GROUP BY 1, 2) SELECT model, prompt_version, n FROM c ORDER BY n DESC, first_seen, model, prompt_version LIMIT 1")
+def modal_regime(spark, folder):
+    """The most frequent model and prompt; ties go to the one seen first."""
+    c = table(spark, folder, "extraction_observations").where("model IS NOT NULL AND prompt_version IS NOT NULL").groupBy("model", "prompt_version").agg(F.count(F.lit(1)).alias("n"), F.min("observed_at").alias("t"))
+    return c.orderBy(F.desc("n"), "t", "model", "prompt_version").limit(1).select("model", "prompt_version", "n")
