@@ -38,6 +38,9 @@ _LETTERS = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "o
 
 # Short forms of what a venue is.
 KINDS = {"theater": "theatre", "thtr": "theatre", "centre": "center", "ctr": "center", "cntr": "center", "rm": "room", "pub": "pub"}
+_ASIDES = re.compile(r"[\[(][^\])]*[\])]|[*~#]+|[^\w\s.,:;!?&@+/|'–—\-…]")
+_BEFORE = re.compile(r"^([^:!\-–—|]{2,24})\s*(?:[:!|]|\s[-–—])\s*(.+)$")
+_BEHIND = re.compile(r"^(.*)[-–—|:]\s*([^-–—|:]+)$")
 _ANNOUNCED = re.compile(r"\b(?:" + "|".join(PREFIXES) + r")\s*[:!]")
 
 
@@ -54,11 +57,10 @@ def words(text: str) -> list[str]:
 def billing(title: str, venue: str) -> tuple[list[str], bool]:
     """The sorted words of a title's billing, and whether it was cut short. Announcements, brackets, and the venue after an at sign are left out."""
     t = plain(re.sub(r"\bw/o\b", "without", re.sub(r"\bw/", "with ", title, flags=re.I), flags=re.I))
-    t = re.sub(r"[\[(][^\])]*[\])]|[*~#]+|[^\w\s.,:;!?&@+/|'–—\-…]", " ", t)
-    place = words(plain(venue))
+    t = _ASIDES.sub(" ", t)
     while (at := t.rfind("@")) > 0:
         after = words(t[at + 1 :])
-        if after and not set(after) & set(place) and len(after) > 6:
+        if after and len(after) > 6 and not set(after) & set(words(plain(venue))):
             break
         t = t[:at]
     cut = False
@@ -68,10 +70,10 @@ def billing(title: str, venue: str) -> tuple[list[str], bool]:
         t = t.strip(" !-–—|:;,*")
         if re.search(r"(\.\.\.|…)$", t):
             cut, t, changed = True, re.sub(r"[\s.…]+$", "", t), True
-        m = re.match(r"^([^:!\-–—|]{2,24})\s*(?:[:!|]|\s[-–—])\s*(.+)$", t)
+        m = _BEFORE.match(t)
         if m and m[1].strip() in PREFIXES:
             t, changed = m[2], True
-        m = re.match(r"^(.+?)\s*[-–—|:]\s*([^-–—|:]+)$", t)
+        m = _BEHIND.match(t)
         if m and " ".join(words(m[2])) in SUFFIXES:
             t, changed = m[1], True
     t = _ANNOUNCED.sub(" ", t)
@@ -79,14 +81,16 @@ def billing(title: str, venue: str) -> tuple[list[str], bool]:
     return [w if cut and i == len(found) - 1 else JOINERS.get(w, w) for i, w in enumerate(found)], cut
 
 
+@lru_cache(maxsize=100_000)
 def place(venue: str) -> list[str]:
-    """The words of a venue's name, without the article and without a town after a dash."""
+    """The words of a venue's name, without the article and without a town after a dash. The list is shared: it is not to be changed."""
     v = re.sub(r"\s[-–—|]\s[^-–—|]*$", "", plain(venue))
     v = re.sub(r"^(.*), (the|a|an)$", r"\2 \1", v)
     found = [KINDS.get(w, w) for w in words(v.replace("&", " and "))]
     return found[1:] if len(found) > 1 and found[0] in ("the", "a", "an") else found
 
 
+@lru_cache(maxsize=1_000_000)
 def close(a: str, b: str) -> bool:
     """Equal, or words of four letters and more within one edit or one swap, of nine and more within two."""
     if a == b:
@@ -111,6 +115,10 @@ def _edits(a: str, b: str) -> int:
 
 def same_words(a: list[str], b: list[str], typos: int = 2) -> bool:
     """Whether two lists hold the same words in any order, up to ``typos`` misspelt ones."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1:
+        return False
     rest = list(b)
     odd = []
     for w in a:
@@ -253,7 +261,7 @@ def _matches(window_us: int):
         ws, ps, cuts = [list(w) for w in group.words], [list(p) for p in group.place], group.cut.to_numpy()
         stored, gens = group.stored.to_numpy(), group.generation.to_numpy()
         asks = np.flatnonzero(~stored)
-        out = set()
+        out, tried = set(), set()
         for g in np.unique(gens[stored]):
             own = np.flatnonzero(stored & (gens == g))
             graph = SmallWorld(x[own])
@@ -262,8 +270,9 @@ def _matches(window_us: int):
                 if ids[a] == ids[b] or abs(at[a] - at[b]) > window_us:
                     continue
                 pair = (min(ids[a], ids[b]), max(ids[a], ids[b]))
-                if pair in out:
+                if pair in tried:
                     continue
+                tried.add(pair)
                 if towns[a] and towns[b] and towns[a] != towns[b] and not set(words(towns[a])) & set(w for w in words(towns[b]) if len(w) > 2):
                     continue
                 if same_place(ps[a], ps[b]) and same_billing(ws[a], cuts[a], ws[b], cuts[b]):

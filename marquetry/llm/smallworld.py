@@ -53,7 +53,7 @@ class SmallWorld:
         self.adj[touched, m : 2 * m] = -1
         self.adj[to[fits], m + place[fits]] = frm[fits]
 
-    def search(self, queries: np.ndarray, k: int, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, k: int, beam: int, expand: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the ``k`` nearest found, -1 where fewer; queries in blocks of bounded memory."""
         ids, scores = [], []
         for at in range(0, len(queries), 512):

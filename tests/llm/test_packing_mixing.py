@@ -7,6 +7,17 @@ from marquetry.llm.mixing import mix, reachable_total
 from marquetry.llm.packing import best_fit, improve, pack
 
 
+def fewest(sizes, capacity):
+    """The lower bound of Martello and Toth: items beyond half a container share none with each other."""
+    best = 0
+    for a in range(capacity // 2 + 1):
+        alone = [n for n in sizes if n > capacity - a]
+        half = [n for n in sizes if capacity / 2 < n <= capacity - a]
+        small = [n for n in sizes if a <= n <= capacity / 2]
+        best = max(best, len(alone) + len(half) + max(0, -(-(sum(small) - (len(half) * capacity - sum(half))) // capacity)))
+    return best
+
+
 def test_pack_keeps_every_token(spark):
     random.seed(5)
     sizes = [(i, random.choice([0, 1, 17, 90, 255, 256, 257, 900, random.randrange(1, 300)])) for i in range(600)] + [(600, None), (601, 5000), (3, 10), (None, 9)]
@@ -24,8 +35,11 @@ def test_pack_keeps_every_token(spark):
         for d, n in sizes:
             if d is not None:
                 want[d] += n or 0
-        assert tokens == want and max(fill.values()) <= capacity
-        assert len(fill) <= -(-sum(want.values()) // capacity) + 4
+        assert set(tokens) == set(want) and {d: (tokens[d], want[d]) for d in want if tokens[d] != want[d]} == {}
+        assert max(fill.values()) <= capacity
+        whole = sum((n or 0) // capacity for d, n in sizes if d is not None and (n or 0) > capacity)
+        rest = [(n or 0) % capacity if (n or 0) > capacity else (n or 0) for d, n in sizes if d is not None]
+        assert whole + fewest(rest, capacity) <= len(fill) <= whole + 1.03 * fewest(rest, capacity) + 4  # four blocks
         split = {r.doc for r in rows if r.container_kind == kind and r.part > 0}
         assert all(want[d] > capacity for d in split)
     assert {r.container_kind for r in rows} == {"small", "large"}
