@@ -130,6 +130,80 @@ def token_corrections(words: DataFrame, ratio: int = 8, least: int = 8) -> DataF
     return near.groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
 
 
+def deletions(text: str) -> set[str]:
+    """The text and what is left of it after one deletion; texts within one edit share one of them."""
+    return {text} | {text[:i] + text[i + 1 :] for i in range(len(text))}
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether one insertion, deletion, replacement or swap of neighbours makes ``a`` into ``b``."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    x, y = a[i:], b[i:]
+    return x[1:] == y or x == y[1:] or x[1:] == y[1:] or (x[2:] == y[2:] and x[:2] == y[:2][::-1])
+
+
+def same_spelling(a: str, b: str) -> bool:
+    """Whether two names of a street differ by one edit: within a word of four letters or more that is no fixed word, or by a space."""
+    if not one_edit(a, b):
+        return False
+    u, v = a.split(), b.split()
+    if len(u) != len(v):
+        return a.replace(" ", "") == b.replace(" ", "")
+    return all(x == y or (min(len(x), len(y)) >= 4 and not re.search("[0-9]", x + y) and x not in FIXED_WORDS and y not in FIXED_WORDS) for x, y in zip(u, v))
+
+
+def mended_names(sets: list[tuple[str, str, str, int]]) -> list[str]:
+    """For each (name, direction, type, frequency) at one number and area the most frequent spelling of its name.
+
+    Names that share a deletion key meet, and those within one edit whose directions and types don't contradict are linked, through others too.
+    """
+    root = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    met: dict[str, list[int]] = {}
+    for i, (name, direction, kind, _) in enumerate(sets):
+        for key in deletions(name):
+            for j in met.setdefault(key, []):
+                other = sets[j]
+                if all(x == y or not x or not y for x, y in ((direction, other[1]), (kind, other[2]))) and same_spelling(name, other[0]):
+                    root[top(i)] = top(j)
+            met[key].append(i)
+    best: dict[int, int] = {}
+    for i, x in enumerate(sets):
+        j = best.setdefault(top(i), i)
+        if (x[3], x[0]) > (sets[j][3], sets[j][0]):
+            best[top(i)] = i
+    return [sets[best[top(i)]][0] for i in range(len(sets))]
+
+
+def near_towns(towns: dict[str, str]) -> dict[str, list[str]]:
+    """The towns of four letters or more under their deletion keys."""
+    found: dict[str, list[str]] = {}
+    for town in sorted(towns):
+        for key in deletions(town) if len(town) >= 4 else ():
+            found.setdefault(key, []).append(town)
+    return found
+
+
+def parse_guessing(tokens: list[str], towns: dict[str, str], near: dict[str, list[str]]) -> list[dict[str, str]]:
+    """The readings of an address in which a town is misspelt: one for each town within one edit of one of the words."""
+    found = []
+    for i, w in enumerate(tokens):
+        if len(w) >= 4 and re.fullmatch("[a-z']+", w) and w not in FIXED_WORDS:
+            for town in sorted({t for key in deletions(w) for t in near.get(key, ()) if one_edit(w, t)}):
+                p = parse([*tokens[:i], town, *tokens[i + 1 :]], towns)
+                if p and p not in found:
+                    found.append(p)
+    return found
+
+
 def same_addresses(records: DataFrame, key: str, address: str, names: list[str], least_containment: float = 0.999) -> DataFrame:
     """(a, b) pairs of different keys, smaller first, whose addresses denote one location.
 
@@ -137,7 +211,9 @@ def same_addresses(records: DataFrame, key: str, address: str, names: list[str],
     lacks (street type, direction, postal code or town) contradict nothing. Null and unreadable addresses give no pair, repeated rows none
     with themselves.
 
-    Rare misspellings are replaced by the frequent word one edit away (a corpus statistic). Each distinct set of canonical parts is indexed
+    Rare misspellings are replaced by the frequent word one edit away (a corpus statistic). Whatever the frequencies, names one edit apart at one
+    number and area are one street, and a town that is not known is read as one within an edit, as the one with records of that number
+    and name where there are several; frequency only chooses the spelling. Each distinct set of canonical parts is indexed
     under its rarest token; fuller or equal sets probe with all of theirs; weighted containment and the absence of contradictory
     parts are verified. A set that fits fuller ones which contradict each other goes to the one with more records. Copies are expanded last.
     """
@@ -164,14 +240,40 @@ def same_addresses(records: DataFrame, key: str, address: str, names: list[str],
     top = counted.groupBy("code").agg(F.max_by("word", F.struct("n", "word")).alias("word"), F.max("n").alias("n"))
     towns = {r.word: r.code for r in top.groupBy("word").agg(F.max_by("code", F.struct("n", "code")).alias("code")).limit(100_000).collect()}
     shared = spark.sparkContext.broadcast(towns)
+    part = ["number", "direction", "name", "type", "area"]
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near = near_towns(shared.value)
         for b in batches:
-            found = [(k, p) for k, t in zip(b.key, b.tokens) if (p := parse(list(t), shared.value))]
-            yield pd.DataFrame([{"key": k, **p} for k, p in found], columns=["key", "number", "direction", "name", "type", "area"])
+            found = []
+            for k, t in zip(b.key, b.tokens):
+                if p := parse(list(t), shared.value):
+                    found.append({"key": k, "guessed": None, **p})
+                else:
+                    found += [{"key": k, "guessed": " ".join(t), **p} for p in parse_guessing(list(t), shared.value, near)]
+            yield pd.DataFrame(found, columns=["key", "guessed", *part])
 
-    parsed = materialise(right.mapInPandas(parts, f"key {kind}, number string, direction string, name string, type string, area string"), "address-parts")
-    part = ["number", "direction", "name", "type", "area"]
+    read = materialise(right.mapInPandas(parts, f"key {kind}, guessed string, number string, direction string, name string, type string, area string"), "address-parts")
+    known = read.where("guessed IS NULL").groupBy("number", "name", "area").agg(F.count(F.lit(1)).alias("n"))
+    likely = Window.partitionBy("key", "guessed").orderBy(F.desc_nulls_last("n"), *part)
+    guesses = read.where("guessed IS NOT NULL").join(known, ["number", "name", "area"], "left").withColumn("r", F.row_number().over(likely)).where("r = 1")
+    read = materialise(read.where("guessed IS NULL").select("key", *part).unionByName(guesses.select("key", *part)), "address-read")
+
+    # misspelt names: where several stand at one number and area
+    spellings = read.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    names_n = spellings.groupBy("name").agg(F.sum("n").alias("m"))
+    there = spellings.join(names_n, "name").groupBy("number", "area").agg(F.collect_list(F.struct("name", "direction", "type", "m")).alias("sets"), F.count_distinct("name").alias("names")).where("names > 1")
+
+    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for number, area, sets in zip(b.number, b.area, b.sets):
+                own = sorted((x["name"], x["direction"], x["type"], x["m"]) for x in sets)
+                out += [(number, area, *x[:3], to) for x, to in zip(own, mended_names(own)) if x[0] != to]
+            yield pd.DataFrame(out, columns=["number", "area", "name", "direction", "type", "to"])
+
+    mends = materialise(there.select("number", "area", "sets").mapInPandas(mend, "number string, area string, name string, direction string, type string, to string"), "address-names")
+    parsed = materialise(read.join(mends, part, "left").select("key", "number", "direction", F.coalesce("to", "name").alias("name"), "type", "area"), "address-mended")
     sets = parsed.groupBy(*part).agg(F.count(F.lit(1)).alias("records"))
     whole = F.filter(
         F.array(F.concat(F.lit("na:"), "number", F.lit("|"), "area"), F.concat(F.lit("ns:"), "number", F.lit("|"), "name"), F.concat(F.lit("sa:"), "name", F.lit("|"), "area"), F.concat(F.lit("t:"), F.nullif("type", F.lit(""))), F.concat(F.lit("d:"), F.nullif("direction", F.lit("")))),

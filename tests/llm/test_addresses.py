@@ -2,7 +2,7 @@
 
 import pytest
 
-from marquetry.llm.addresses import parse, same_addresses, token_corrections, tokens_of
+from marquetry.llm.addresses import mended_names, one_edit, parse, same_addresses, same_spelling, token_corrections, tokens_of
 
 TOWNS = {"holtford": "01000", "hexpool": "01013"}
 
@@ -49,6 +49,24 @@ def test_pairs(spark):
     assert got == {("a", "b"), ("a", "c"), ("b", "c")}
 
 
+def test_one_edit():
+    assert [one_edit("orchard", w) for w in ("orchard", "ochard", "orrchard", "orhcard", "orcherd", "orchards", "ohrcadr", "rchards")] == [False, True, True, True, True, True, False, False]
+    assert same_spelling("orchard view", "orchardview") and same_spelling("mount tamsin", "mount tasin")
+    assert not same_spelling("5th", "6th") and not same_spelling("elm", "elk")
+    assert mended_names([("hill", "", "street", 9), ("mill", "", "road", 9), ("orchardview", "", "", 5), ("orcharddview", "", "lane", 1)]) == ["hill", "mill", "orchardview", "orchardview"]
+
+
+def test_rare_and_repeated_misspellings(spark):
+    rows = [
+        ("a", "1189 Orcharddview St, Holtford, MA 01000"), ("b", "1189 Orchardview Street, Holtford, MA 01000"), ("c", "1189 Orchardview Lane, Holtford, MA 01000"), ("d", "1187 Orchardview Street, Holtford, MA 01000"),
+        ("e", "7 Harbarview Rd, Hexpool, NH 01013"), ("f", "7 Harbarview Road, Hexpool, NH 01013"), ("g", "7 Harborview Rd, Hexpool, NH 01013"),
+        ("h", "1189 Orchardview Street, Holtfrod, MA"), ("i", "12 5th Ave, Hexpool 01013"), ("j", "12 6th Ave, Hexpool 01013"),
+    ]
+    df = spark.createDataFrame(rows, "id string, address string")
+    got = {(r.a, r.b) for r in same_addresses(df, "id", "address", []).collect()}
+    assert got == {("a", "b"), ("a", "h"), ("b", "h"), ("e", "f"), ("e", "g"), ("f", "g")}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id string, address string, name string")
     assert same_addresses(df, "id", "address", ["name"]).count() == 0
