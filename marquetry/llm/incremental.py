@@ -201,6 +201,9 @@ def first_listings(listings: DataFrame, window_us: int = WINDOW_US, shard: int =
     ``listings(id, title, venue, town, start_us, at)``: ``at`` is the time of discovery. Of rows repeated under one id the earliest
     counts. Rows without id, title, venue, start or time are left out, as are titles and venues without a word. Equal times go to the smaller id.
 
+    Linked listings are split by time: the first accepted takes those that start within the window of it, then the first of the others, and so
+    on. A listing that begins such a part comes out with the earliest listing it is linked to within the window, if one was accepted before.
+
     Rows that agree in canonical billing, place and start are one vector. The history is segmented by the day of the start; each
     segment holds one small-world graph per generation of batches, to which compaction has brought the batches' own shards. A row
     probes the shards of its segment, and those of the one before if that ended within the window, with a beam tuned against exhaustive search until it finds 99 of 100 and widened while all it
@@ -233,9 +236,34 @@ def first_listings(listings: DataFrame, window_us: int = WINDOW_US, shard: int =
     groups = components(links.unionByName(copied), "a", "b")
     times = canonical.groupBy("id").agg(F.min(F.struct("at", "start_us")).alias("t")).select("id", F.col("t.at").alias("at"), F.col("t.start_us").alias("start_us"))
     placed = materialise(groups.join(times, groups["record_id"] == times["id"]).select("group_id", "id", "at", "start_us"), "placed")
-    first = placed.groupBy("group_id").agg(F.min(F.struct("at", "id", "start_us")).alias("f"))
-    found = placed.join(first, "group_id").where((F.col("id") != F.col("f.id")) & (F.abs(F.col("start_us") - F.col("f.start_us")) <= window_us))
-    return found.select(F.col("id").alias("later"), F.col("f.id").alias("first")).distinct()
+    # the firsts of a group by its distinct starts: few, however many listings share them
+    starts = placed.groupBy("group_id", "start_us").agg(F.min(F.struct("at", "id")).alias("e"))
+    starts = starts.groupBy("group_id").agg(F.collect_list(F.struct(F.unix_micros("e.at").alias("at"), F.col("e.id").alias("id"), F.col("start_us"))).alias("starts"))
+
+    def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(g, *x) for g, own in zip(b.group_id, b.starts) for x in split_firsts([(s["at"], s["id"], s["start_us"]) for s in own], window_us)]
+            yield pd.DataFrame(out, columns=["group_id", "start_us", "first", "before"])
+
+    first = starts.mapInPandas(accept, "group_id string, start_us long, first string, before string")
+    found = placed.join(first, ["group_id", "start_us"]).withColumn("first", F.when(F.col("id") == F.col("first"), F.col("before")).otherwise(F.col("first")))
+    return found.where(F.col("first").isNotNull()).select(F.col("id").alias("later"), "first").distinct()
+
+
+def split_firsts(starts: list[tuple[int, str, int]], window_us: int) -> list[tuple[int, str, str | None]]:
+    """(start, first, before) for the earliest (at, id, start) of each start of a group of linked listings.
+
+    The earliest takes all within the window of its start, the earliest of what remains those within its own, until none is left.
+    ``before``: the earliest listing of another part that a first still meets within the window, if it came before it.
+    """
+    order, out = sorted(starts), []
+    rest = order
+    while rest:
+        at, name, start = rest[0]
+        before = next((x[1] for x in order if x < rest[0] and abs(x[2] - start) <= window_us), None)
+        out += [(x[2], name, before) for x in rest if abs(x[2] - start) <= window_us]
+        rest = [x for x in rest if abs(x[2] - start) > window_us]
+    return out
 
 
 def _canonical(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from marquetry.llm.incremental import billing, first_listings, place, same_billing, same_place
+from marquetry.llm.incremental import billing, first_listings, place, same_billing, same_place, split_firsts
 from marquetry.llm.smallworld import SmallWorld
 
 H = 3_600_000_000
@@ -68,5 +68,19 @@ def test_first_listings(spark):
     assert spread == got
 
 
+def test_split_firsts():
+    assert split_firsts([(1, "a", 0), (3, "b", 2), (2, "c", 4)], 2) == [(0, "a", None), (2, "a", None), (4, "c", None)]
+    assert split_firsts([(1, "a", 0), (2, "b", 2), (3, "c", 4), (4, "d", 5)], 2) == [(0, "a", None), (2, "a", None), (4, "c", "b"), (5, "c", "b")]
+
+
+def test_chains_of_starts(spark):
+    t0, day = 1_750_000_000_000_000, dt.datetime(2025, 5, 1)
+    at = lambda d: day + dt.timedelta(days=d)
+    chain = [("a", 0, 1), ("b", 2 * H, 2), ("c", 5 * H // 2, 3), ("d", 4 * H, 4), ("e", 9 * H // 2, 5), ("e2", 9 * H // 2, 6)]
+    df = spark.createDataFrame([(i, "Act with Owls", "The Old Mill", None, t0 + s, at(d)) for i, s, d in chain], SCHEMA)
+    got = {(r.later, r.first) for r in first_listings(df).collect()}
+    assert got == {("b", "a"), ("c", "b"), ("d", "c"), ("e", "c"), ("e2", "c")}
+
+
 def test_no_listings(spark):
     assert first_listings(spark.createDataFrame([], SCHEMA)).count() == 0
