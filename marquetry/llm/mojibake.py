@@ -9,9 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquetry.operators.lineage import materialise
+
 #: (encoding the bytes were in, encoding they were read with). The public names of codecs.
 CHAINS = (
     ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "cp1251"), ("utf-8", "cp1250"), ("utf-8", "koi8-r"),
@@ -30,8 +32,12 @@ PRIOR = -5.0
 #: By so much must a restored word be more typical, in nats per bigram, where any byte would decode.
 LEGACY_MARGIN = 1.0
 
-#: Documents of the fit that hold a well-known word.
+#: A well-known word stands in one of so many documents, a known one in one of ``FIT_DOCUMENTS`` and in two at least; so both are bounded in number.
+KNOWN_ONE_IN = 400
+#: Documents with a well-known word where their number isn't given.
 KNOWN = 20
+#: By so many times must an original be more frequent than a word with few bytes of a legacy encoding.
+RATIO = 3
 
 # anchored at the start of a word and possessive, so that a long word without such characters is read once
 _WORD = re.compile(r"(?<![^ \t\r\n])[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*+[^\x00-\x7f][^ \t\r\n]*")
@@ -101,9 +107,9 @@ def buckets_of(word: str) -> np.ndarray:
 class Classifier:
     """Multinomial naive Bayes over hashed byte bigrams; class 0 is sound text, class k the chain k-1, then the lossy ones."""
 
-    def __init__(self, table: np.ndarray, classes: list[tuple[str, str] | None], known: dict[str, int]):
+    def __init__(self, table: np.ndarray, classes: list[tuple[str, str] | None], known: dict[str, int], often: float = KNOWN):
         self.table, self.classes, self.known = table, classes, known
-        self.often = sorted(w for w, n in known.items() if n >= KNOWN)
+        self.often = sorted(w for w, n in known.items() if n >= often)
 
     def begins_often(self, word: str) -> bool:
         """Whether a word of many documents begins so, as where a text was cut within it."""
@@ -151,10 +157,11 @@ class Classifier:
             model = cls(table, classes, {w: n for w, n in sound.items() if n > 1})
         return model
 
-    def verdict(self, word: str, depth: int = 4, legacy: float = LEGACY_MARGIN) -> tuple[str, str]:
-        """(sound, restored or lossy; the best text)."""
+    def verdict(self, word: str, depth: int = 4, legacy: float = LEGACY_MARGIN, counts: dict[str, int] | None = None) -> tuple[str, str]:
+        """(sound, restored or lossy; the best text). ``counts``: documents that hold the word and its ``originals``, beside the known words."""
         if "�" in word:
             return "lossy", word
+        number = lambda w: (counts or {}).get(w) or self.known.get(w, 0)
         s = self.scores(word)
         for k in np.argsort(-s)[:6]:
             chain = self.classes[k]
@@ -168,24 +175,37 @@ class Classifier:
             # the inversion must leave text that is more like sound text, by its own characters
             if back.isascii() or self.typical(back) > self.typical(word) + (0 if chain[0] == "utf-8" else legacy):
                 if depth > 1 and not back.isascii():
-                    further, deeper = self.verdict(back, depth - 1, legacy)
+                    further, deeper = self.verdict(back, depth - 1, legacy, counts)
                     if further == "restored":
                         return "restored", deeper
                 return "restored", back
-        for chain in CHAINS if sum(not ch.isascii() for ch in word) else ():  # few bytes of a legacy encoding: the original must be a well-known word
+        for chain in CHAINS if sum(not ch.isascii() for ch in word) else ():  # few bytes of a legacy encoding: the original must be a more frequent word
             back = restore(word, chain) if chain[0] != "utf-8" else None
-            if back and len(back) > 3 and _readable(back) and self.known.get(back, 0) > max(KNOWN, 3 * self.known.get(word, 0)):
+            if back and len(back) > 3 and _readable(back) and number(back) > RATIO * max(1, number(word)):
                 return "restored", back
         utf8 = [k for k, chain in enumerate(self.classes) if chain and chain[0] == "utf-8"]
         if utf8 and s[utf8].max() > s[0] + LOSSY_MARGIN:
             for chain in CHAINS[:3] if depth > 1 else ():  # more than twice garbled
                 back = restore(word, chain) if chain[0] == "utf-8" else None
-                if back and _readable(back) and (further := self.verdict(back, depth - 1, legacy))[0] == "restored":
+                if back and _readable(back) and (further := self.verdict(back, depth - 1, legacy, counts))[0] == "restored":
                     return further
             return "lossy", word
         return "sound", word
 
 
+def originals(word: str, depth: int = 4) -> set[str]:
+    """The texts whose frequencies decide on a word: those before a legacy chain, of the word itself and of what UTF-8 chains leave of it."""
+    found = {word}
+    for chain in CHAINS:
+        back = restore(word, chain)
+        if back and not word.isascii() and _readable(back):
+            if chain[0] != "utf-8" and len(back) > 3:
+                found.add(back)
+            elif chain[0] == "utf-8" and depth > 1 and not back.isascii():
+                found |= originals(back, depth - 1)
+    return found
+
+
 def _readable(text: str) -> bool:
     return all(ch.isprintable() or ch in " ­​‍　️\n\t" for ch in text)
 
@@ -201,32 +221,66 @@ def fit(documents: DataFrame, key: str, text: str, fit_documents: int = FIT_DOCU
     return Classifier.fit(counts)
 
 
+def count_words(documents: DataFrame, text: str) -> DataFrame:
+    """(w, n): the words beyond ASCII with the number of documents that hold them, over all documents."""
+    return documents.select(F.explode(_distinct_words(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w.rlike(r"[^\x00-\x7F]")))
+
+
 def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text", model: Classifier | None = None) -> DataFrame:
     """(``key``, restored string, words_restored int, words_lossy int) for the documents that hold garbled text.
 
     ``restored`` is the text with every invertible word restored; what is lost stays as it is and is counted. Every document is read as a whole,
     word by word. Null and empty texts hold nothing garbled; repeated rows come out repeated; a table without any character beyond ASCII gives no rows.
-    The model is bounded: a table of float32 per class and bucket.
+    The model is bounded: a table of float32 per class and bucket, fitted on a sample. Frequencies are those in all documents: the rates of known
+    words are broadcast, a rarer word is joined with the counts of its possible originals.
     """
     spark = documents.sparkSession
-    model = model or fit(documents, key, text)
-    shared = spark.sparkContext.broadcast((model.table, model.classes, model.known))
     kind = documents.schema[key].dataType.simpleString()
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7F]")).withColumn("u", F.monotonically_increasing_id())
+    rows = materialise(rows, "garbled-rows")
+    model = model or fit(rows, "k", "t")
+    words = materialise(count_words(rows, "t"), "garbled-words")
+    total = rows.count()
+    # words of one document in FIT_DOCUMENTS and more: no more than that many documents' worth
+    common = {r.w: r.n for r in words.where(F.col("n") > max(1.0, total / FIT_DOCUMENTS)).collect()}
+    shared = spark.sparkContext.broadcast((model.table, model.classes, common, max(2.0, total / KNOWN_ONE_IN)))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(w, x) for w in b.w for x in originals(w)], columns=["w", "original"])
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Classifier(*shared.value)
+        for b in batches:
+            out = [(w, *own.verdict(w, counts=dict(c))) for w, c in zip(b.w, b.counts)]
+            yield pd.DataFrame([x for x in out if x[1] != "sound"], columns=["w", "what", "better"])
+
+    # words whose verdict the frequency of an original in all documents can change
+    asked = words.select("w").mapInPandas(ask, "w string, original string").join(words.select(F.col("w").alias("original"), "n"), "original")
+    asked = asked.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("original", "n"))).alias("counts")).where(F.size("counts") > 1)
+    judged = materialise(asked.mapInPandas(judge, "w string, what string, better string"), "garbled-judged")
+    held = rows.select("u", F.explode(_distinct_words(F.col("t"))).alias("w")).join(judged, "w").groupBy("u").agg(F.collect_list(F.struct("w", "what", "better")).alias("judged"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Classifier(*shared.value)
         verdict = lru_cache(maxsize=200_000)(own.verdict)
         for batch in batches:
             out = []
-            for k, t in zip(batch["k"], batch["t"]):
+            for k, t, judged in zip(batch["k"], batch["t"], batch["judged"]):
                 counts = {"restored": 0, "lossy": 0}
+                by_count = {x["w"]: (x["what"], x["better"]) for x in judged} if judged is not None else {}
 
                 def better(m: re.Match) -> str:
                     new = []
+                    whole = by_count.get(m[0])  # noqa: B023
                     for i in range(0, len(m[0]), _PIECE):
-                        what, word = verdict(m[0][i : i + _PIECE])
+                        what, word = whole if whole and len(m[0]) <= _PIECE else verdict(m[0][i : i + _PIECE])
                         if what != "sound":
-                            counts[what] += 1
+                            counts[what] += 1  # noqa: B023
                         new.append(word)
                     return "".join(new)
 
@@ -235,5 +289,4 @@ def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text",
                     out.append((k, restored, counts["restored"], counts["lossy"]))
             yield pd.DataFrame(out, columns=[key, "restored", "words_restored", "words_lossy"])
 
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7F]"))
-    return rows.mapInPandas(run, f"`{key}` {kind}, restored string, words_restored int, words_lossy int")
+    return rows.join(held, "u", "left").select("k", "t", "judged").mapInPandas(run, f"`{key}` {kind}, restored string, words_restored int, words_lossy int")

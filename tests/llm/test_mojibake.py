@@ -50,3 +50,12 @@ def test_documents(spark):
     assert sorted(r.doc_id for r in found) == [1000, 1000, 1001, 1005]
     assert {r.restored for r in found if r.doc_id == 1000} == {"La soirée au théâtre"}
     assert find_garbled(df.where("false")).count() == 0
+
+
+def test_rare_words_of_a_large_table(spark):
+    filler = [(i, f"{SOUND[i % len(SOUND)]} plain {i}") for i in range(2_000)]
+    names = [(10_000 + i, "met Łucja there") for i in range(12)] + [(20_000, "met £ucja there"), (20_001, "met £ucja there")]
+    df = spark.createDataFrame(filler + names, "doc_id long, text string")
+    model = Classifier.fit({w: 50 for w in SOUND})  # as of a sample without the name
+    found = {r.doc_id: r.restored for r in find_garbled(df, model=model).collect()}
+    assert found == {20_000: "met Łucja there", 20_001: "met Łucja there"}
