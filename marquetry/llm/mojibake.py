@@ -168,6 +168,10 @@ class Classifier:
             if chain is None or s[k] <= s[0]:
                 break
             back = restore(word, chain)
+            if back and not _readable(back) and chain[0] == "utf-8" and depth > 1:  # garbled twice, with bytes that the second encoding leaves undefined
+                further, deeper = self.verdict(back, depth - 1, legacy, counts)
+                if further == "restored":
+                    return "restored", deeper
             if back is None or not _readable(back) or (chain[0] != "utf-8" and sum(not ch.isascii() for ch in word) < 2):
                 continue
             if chain[0] != "utf-8" and (self.known.get(word, 0) > self.known.get(back, 0) or self.begins_often(word) > self.begins_often(back)):
@@ -193,13 +197,74 @@ class Classifier:
         return "sound", word
 
 
+def cuts(word: str, chain: tuple[str, str]) -> list[str]:
+    """The word in pieces of ``_PIECE`` characters at most, none of which parts what the chain made of one character.
+
+    What the chain can't have made stands apart from what it can.
+    """
+    data = []
+    for ch in word:
+        try:
+            data.append(encode(ch, chain[1]))
+        except UnicodeError:
+            data.append(b"")
+    pieces, start, i, before = [], 0, 0, None
+    while i < len(word):
+        n, made = 1, False
+        for m in range(1, 5) if data[i] else ():
+            part = data[i : i + m]
+            if len(part) < m or not all(part):
+                break
+            try:
+                b"".join(part).decode(chain[0])
+            except UnicodeError:
+                continue
+            n, made = m, True
+            break
+        if i > start and (i + n - start > _PIECE or made != before):
+            pieces.append(word[start:i])
+            start = i
+        before = made
+        i += n
+    return [*pieces, word[start:]]
+
+
+def read_long(word: str, model: Classifier, depth: int = 4) -> tuple[str, str]:
+    """The verdict of a word of any length: as a whole, or else in pieces, cut between the characters of each chain that may have made it.
+
+    What the pieces leave is read again, as text garbled twice is cut between its outer characters first.
+    """
+    what, text = model.verdict(word)
+    if what == "restored" or len(word) <= _PIECE:
+        return what, text
+    s = model.scores(word)
+    ranked = [model.classes[k] for k in np.argsort(-s) if k and s[k] > s[0]]
+    best, left = word, None
+    for chain in dict.fromkeys(ranked or [CHAINS[0]]):
+        read = [model.verdict(x) for x in cuts(word, chain)]
+        lossy = sum(x[0] == "lossy" for x in read)
+        if any(x[0] == "restored" for x in read) and (left is None or lossy < left):
+            best, left = "".join(x[1] for x in read), lossy
+        if left == 0:
+            break
+        if left is None and lossy:
+            what = "lossy"
+    if left is None:
+        return what, word
+    if depth > 1:
+        further, deeper = read_long(best, model, depth - 1)
+        if further == "restored":
+            return "restored", deeper
+    return ("part" if left else "restored"), best
+
+
 def originals(word: str, depth: int = 4) -> set[str]:
     """The texts whose frequencies decide on a word: those before a legacy chain, of the word itself and of what UTF-8 chains leave of it."""
     found = {word}
     for chain in CHAINS:
         back = restore(word, chain)
-        if back and not word.isascii() and _readable(back):
-            if chain[0] != "utf-8" and len(back) > 3:
+        if back and not word.isascii():
+            if chain[0] != "utf-8" and len(back) > 3 and _readable(back):
                 found.add(back)
             elif chain[0] == "utf-8" and depth > 1 and not back.isascii():
                 found |= originals(back, depth - 1)
@@ -233,7 +298,8 @@ def _distinct_words(text: Column) -> Column:
 def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text", model: Classifier | None = None) -> DataFrame:
     """(``key``, restored string, words_restored int, words_lossy int) for the documents that hold garbled text.
 
-    ``restored`` is the text with every invertible word restored; what is lost stays as it is and is counted. Every document is read as a whole,
+    ``restored`` is the text with every invertible word restored; what is lost stays as it is and is counted. A long word that can't be
+    inverted as a whole is read in pieces and counts as restored, as lossy or as both. Every document is read as a whole,
     word by word. Null and empty texts hold nothing garbled; repeated rows come out repeated; a table without any character beyond ASCII gives no rows.
     The model is bounded: a table of float32 per class and bucket, fitted on a sample. Frequencies are those in all documents: the rates of known
     words are broadcast, a rarer word is joined with the counts of its possible originals.
@@ -267,7 +333,7 @@ def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Classifier(*shared.value)
-        verdict = lru_cache(maxsize=200_000)(own.verdict)
+        verdict = lru_cache(maxsize=200_000)(lambda w: read_long(w, own))
         for batch in batches:
             out = []
             for k, t, judged in zip(batch["k"], batch["t"], batch["judged"]):
@@ -275,14 +341,10 @@ def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 by_count = {x["w"]: (x["what"], x["better"]) for x in judged} if judged is not None else {}
 
                 def better(m: re.Match) -> str:
-                    new = []
-                    whole = by_count.get(m[0])  # noqa: B023
-                    for i in range(0, len(m[0]), _PIECE):
-                        what, word = whole if whole and len(m[0]) <= _PIECE else verdict(m[0][i : i + _PIECE])
-                        if what != "sound":
-                            counts[what] += 1  # noqa: B023
-                        new.append(word)
-                    return "".join(new)
+                    what, word = by_count.get(m[0]) or verdict(m[0])  # noqa: B023
+                    for x in ("restored", "lossy") if what == "part" else (what,) if what != "sound" else ():
+                        counts[x] += 1  # noqa: B023
+                    return word
 
                 restored = _WORD.sub(better, t)
                 if any(counts.values()):

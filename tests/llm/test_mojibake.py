@@ -2,7 +2,7 @@
 
 import random
 
-from marquetry.llm.mojibake import CHAINS, Classifier, find_garbled, garble, restore, words_of
+from marquetry.llm.mojibake import CHAINS, Classifier, cuts, find_garbled, garble, read_long, restore, words_of
 
 SOUND = "déjà-vu soirée théâtre l’été crème brûlée naïve Zoë Renée São João coração não maçã Müller Straße schön größte Übung łąka źródło śpiew część żółty niño mañana corazón ¡Última Þórunn Ðalberg № 20°C £8 €5 “quoted” don’t мастерская открыта вход свободный разговор музыка концерт".split()
 
@@ -59,3 +59,16 @@ def test_rare_words_of_a_large_table(spark):
     model = Classifier.fit({w: 50 for w in SOUND})  # as of a sample without the name
     found = {r.doc_id: r.restored for r in find_garbled(df, model=model).collect()}
     assert found == {20_000: "met Łucja there", 20_001: "met Łucja there"}
+
+
+def test_long_words_are_inverted_as_a_whole():
+    m = model()
+    plain = "музыка,концерт,свободный,разговор,мастерская," * 5 + "вход"
+    once = garble(plain, CHAINS[0])
+    assert len(once) > 400 and read_long(once, m) == ("restored", plain)
+    assert read_long(garble(once, CHAINS[0]), m) == ("restored", plain)
+    assert read_long(plain, m) == ("sound", plain)
+    # what can't be inverted as a whole is cut between characters
+    assert read_long("日" + once, m) == ("restored", "日" + plain)
+    assert "".join(cuts(once, CHAINS[0])) == once
+    assert all(restore(x, CHAINS[0]) for x in cuts(once, CHAINS[0]) if not x.isascii())
