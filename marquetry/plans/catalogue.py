@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -390,6 +392,70 @@ def _best(spark: SparkSession, folder: str) -> DataFrame:
     return met.groupBy("vec_id", "side").agg(F.max("c").alias("c"), (-F.max(F.struct(F.round("c", 9).alias("c"), (-F.col("pid")).alias("n")))["n"]).alias("pid"))
 
 
+#: Preferences whose vectors are broadcast at once.
+PREFERENCE_BLOCK = 4_096
+
+
+@query()
+def best_preference_all(spark, folder):
+    """For each vector the most similar preference, per side, where every vector whose id is divisible by 50 is one; ties go to the first.
+
+    ``best_preference`` and ``similarity_score`` have the sixteen preferences of their SQL; here they grow with the table.
+    """
+    e = table(spark, folder, "embeddings")
+    prefs = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("p"), F.col("label").alias("l"))
+    return best_of_all(e, prefs).select("vec_id", "side", r6("c").alias("best"), "pid")
+
+
+def best_of_all(vectors: DataFrame, preferences: DataFrame, block: int = PREFERENCE_BLOCK) -> DataFrame:
+    """(vec_id, side, c, pid): the most similar of ``preferences(pid, p, l)`` for each row of ``vectors(vec_id, embedding)`` and side, which is the parity of ``l``.
+
+    Similarities are compared to nine digits, and equal ones go to the smaller pid; a zero vector has similarity zero. Null ids and vectors are left out.
+    Preferences are broadcast in blocks of ``block``, one after another, and the best of each block are merged, so the whole table meets all of them.
+    """
+    spark = vectors.sparkSession
+    prefs = materialise(preferences.where("pid IS NOT NULL AND p IS NOT NULL").select("pid", F.transform("p", lambda x: x.cast("double")).alias("p"), F.pmod("l", F.lit(2)).cast("int").alias("side")), "preferences")
+    blocks = max(1, -(-prefs.count() // block))
+    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
+    part = F.pmod(F.xxhash64("pid"), F.lit(blocks))
+    best = None
+    for b in range(blocks):
+        own = prefs.where(part == b).orderBy("pid").collect()  # about PREFERENCE_BLOCK rows
+        met = rows.mapInPandas(_nearest([(r.pid, r.p, r.side) for r in own], spark), "vec_id bigint, side int, c double, pid bigint")
+        best = materialise(_best_of(met if best is None else best.unionByName(met)), "best-preferences")
+    return best
+
+
+def _best_of(found: DataFrame) -> DataFrame:
+    order = F.struct(F.round("c", 9).alias("c"), (-F.col("pid")).alias("n"))
+    return found.groupBy("vec_id", "side").agg(F.max("c").alias("c"), F.max_by("pid", order).alias("pid"))
+
+
+def _nearest(preferences: list[tuple[int, list[float], int]], spark: SparkSession):
+    shared = spark.sparkContext.broadcast(preferences)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def run(batches):
+        sides = {}
+        for pid, p, side in shared.value:
+            sides.setdefault(side, ([], []))[0].append(pid)
+            sides[side][1].append(p)
+        sides = {s: (np.array(ids), unit(np.array(v, float))) for s, (ids, v) in sides.items()}
+        for batch in batches:
+            for at in range(0, len(batch), 1_024):
+                some = batch.iloc[at : at + 1_024]
+                x = unit(np.stack(some.embedding.to_numpy()).astype(float))
+                for side, (ids, p) in sides.items():
+                    c = x @ p.T
+                    first = np.round(c, 9).argmax(axis=1)  # ids ascend, so the first of equal ones has the smallest
+                    yield pd.DataFrame({"vec_id": some.vec_id.to_numpy(), "side": side, "c": c.max(axis=1), "pid": ids[first]})
+
+    return run
+
+
 @query(f"""WITH s AS (SELECT vec_id, label, side, max({_dots('embedding', 'p')} / (sqrt({_dots('embedding', 'embedding')}) * sqrt({_dots('p', 'p')}))) AS c FROM embeddings, ({_PREFS}) GROUP BY 1, 2, 3),
     b AS (SELECT vec_id, label, max(CASE WHEN side = 0 THEN c END) AS l, max(CASE WHEN side = 1 THEN c END) AS d FROM s GROUP BY 1, 2),
     k AS (SELECT label, CASE WHEN l > coalesce(d, -1) THEN l / (1 + exp(-(l - 0.5) / 0.1)) ELSE -d / (1 + exp(-(d - 0.5) / 0.1)) END AS x FROM b)

@@ -5,6 +5,7 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from marquetry.functions import timing as M
 from marquetry.operators import matching, ranking, statistics, writes
 from marquetry.operators.references import failed_references
 from marquetry.operators.timestamps import abbreviation_offsets, estimate_zones, normalise_fields, to_instants
+from marquetry.plans import catalogue
 
 UTC = dt.timezone.utc
 
@@ -209,3 +211,25 @@ def test_nothing_outside_names_the_llm_subpackage_but_the_entry():
     for path in (root / "marquetry").rglob("*.py"):
         if "llm" not in path.parts:
             assert not re.search(r"marquetry\.llm|from marquetry import llm", path.read_text()), path
+
+
+def test_best_preference_meets_every_preference(spark):
+    rng = np.random.default_rng(5)
+    v = [[float(x) for x in r] for r in rng.normal(size=(400, 6))]
+    v[3] = [0.0] * 6
+    v[100] = [2 * x for x in v[50]]
+    rows = [(i, x, i // 50 + i % 7) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = x / np.where(norm == 0, 1, norm)
+    want = {}
+    for i in range(400):
+        for j in range(0, 400, 50):
+            key, new = (i, rows[j][2] % 2), (round(float(x[i] @ x[j]), 9), -j)
+            want[key] = max(want.get(key, (-2, 0)), new)
+    prefs = df.where("vec_id % 50 = 0").selectExpr("vec_id AS pid", "embedding AS p", "label AS l")
+    for block in (3, 100):
+        got = {(r.vec_id, r.side): (r.c, r.pid) for r in catalogue.best_of_all(df, prefs, block).collect()}
+        assert {k: p for k, (_, p) in got.items()} == {k: -n for k, (_, n) in want.items()}
+        assert all(abs(got[k][0] - c) < 1e-8 for k, (c, _) in want.items())
