@@ -163,10 +163,17 @@ class Classifier:
             return "lossy", word
         number = lambda w: (counts or {}).get(w) or self.known.get(w, 0)
         s = self.scores(word)
-        for k in np.argsort(-s)[:6]:
+        tried, best = set(), {}
+        for k in np.argsort(-s):  # every chain that fits better than sound text, once
             chain = self.classes[k]
             if chain is None or s[k] <= s[0]:
                 break
+            if chain in tried:
+                continue
+            if chain[0] != "utf-8" and any(c[0] == "utf-8" and s[0] + LOSSY_MARGIN < best[c] for c in tried):
+                continue  # rather a UTF-8 chain that lost bytes, as any byte decodes in a legacy encoding
+            tried.add(chain)
+            best[chain] = s[k]
             back = restore(word, chain)
             if back and not _readable(back) and chain[0] == "utf-8" and depth > 1:  # garbled twice, with bytes that the second encoding leaves undefined
                 further, deeper = self.verdict(back, depth - 1, legacy, counts)
@@ -189,9 +196,9 @@ class Classifier:
                 return "restored", back
         utf8 = [k for k, chain in enumerate(self.classes) if chain and chain[0] == "utf-8"]
         if utf8 and s[utf8].max() > s[0] + LOSSY_MARGIN:
-            for chain in CHAINS[:3] if depth > 1 else ():  # more than twice garbled
+            for chain in CHAINS if depth > 1 else ():  # more than twice garbled
                 back = restore(word, chain) if chain[0] == "utf-8" else None
-                if back and _readable(back) and (further := self.verdict(back, depth - 1, legacy, counts))[0] == "restored":
+                if back and (further := self.verdict(back, depth - 1, legacy, counts))[0] == "restored":
                     return further
             return "lossy", word
         return "sound", word

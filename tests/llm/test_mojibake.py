@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from marquetry.llm.mojibake import CHAINS, Classifier, cuts, find_garbled, garble, read_long, restore, words_of
 
 SOUND = "déjà-vu soirée théâtre l’été crème brûlée naïve Zoë Renée São João coração não maçã Müller Straße schön größte Übung łąka źródło śpiew część żółty niño mañana corazón ¡Última Þórunn Ðalberg № 20°C £8 €5 “quoted” don’t мастерская открыта вход свободный разговор музыка концерт".split()
@@ -72,3 +74,37 @@ def test_long_words_are_inverted_as_a_whole():
     assert read_long("日" + once, m) == ("restored", "日" + plain)
     assert "".join(cuts(once, CHAINS[0])) == once
     assert all(restore(x, CHAINS[0]) for x in cuts(once, CHAINS[0]) if not x.isascii())
+
+
+def test_every_chain_above_sound_text_is_tried():
+    fitted = model()
+    seventh = fitted.classes.index(("utf-8", "koi8-r"))
+    others = [k for k, c in enumerate(fitted.classes) if c and c != ("utf-8", "koi8-r") and restore(garble("śpiew", ("utf-8", "koi8-r")), c) is None]
+    assert len(others) >= 8
+
+    def scores(word):
+        s = np.full(len(fitted.classes), -9.0)
+        s[0], s[seventh] = (0, 1) if word == garble("śpiew", ("utf-8", "koi8-r")) else (9, 1)
+        s[others[:8]] = np.arange(8) + 2
+        return s
+
+    fitted.scores = scores
+    assert fitted.verdict(garble("śpiew", ("utf-8", "koi8-r"))) == ("restored", "śpiew")
+
+
+def test_text_garbled_often_by_any_utf8_chain():
+    fitted = model()
+    inner = garble("мастерская", CHAINS[0])
+    outer = garble(inner, ("utf-8", "koi8-r")) or garble(inner, ("utf-8", "cp437"))
+    lossy = next(k for k, c in enumerate(fitted.classes) if c == CHAINS[0])
+    plain_scores = fitted.scores
+
+    def scores(word):
+        s = plain_scores(word)
+        if word == outer:
+            s[:] = -50
+            s[lossy] = 0
+        return s
+
+    fitted.scores = scores
+    assert fitted.verdict(outer) == ("restored", "мастерская")
