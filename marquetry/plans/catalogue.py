@@ -34,7 +34,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def r6(c):
-    return F.round(c, 6)
+    """Six digits as most engines round a double: scaled, then to the nearest whole number, halves away from zero."""
+    return F.round(F.lit(1e6) * c) / F.lit(1e6)
 
 
 # ranking and scoring
