@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from marquetry.llm.addresses import same_addresses
 from marquetry.llm.components import components
-from marquetry.llm.incremental import first_listings
+from marquetry.llm.incremental import ListingIndex, first_listings
 from marquetry.llm.mixing import mix
 from marquetry.llm.mojibake import find_garbled
 from marquetry.llm.packing import pack
 from marquetry.llm.tokens import count_tokens
 from marquetry.llm.topn import top_n
+from marquetry.operators.lineage import materialise
 from marquetry.operators.timestamps import normalise_fields
 
 
@@ -32,16 +33,33 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("venue_a"), F.col("b").alias("venue_b"))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Each later listing of a happening with the listing accepted first."""
+def listings_with_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, title, venue, town, start_us, at): the listings of which title, venue and start can be read."""
     rows = table(spark, folder, "event_candidates").select("id", "source", "title", "venue", "location", "start_time", "discovered_at")
     rows = rows.where(F.col("title").isNotNull() & F.col("venue").isNotNull() & F.col("start_time").isNotNull())
     starts = normalise_fields(rows.withColumn("row", F.struct("id", "title", "venue", "location", "discovered_at")), "row", ["start_time"], table(spark, folder, "source_zones"), seen="discovered_at")
-    listings = starts.where(F.col("utc_us").isNotNull()).select("row.id", "row.title", "row.venue", F.col("row.location").alias("town"), F.col("utc_us").alias("start_us"), F.col("row.discovered_at").cast("timestamp").alias("at"))
-    pairs = first_listings(listings)
+    return starts.where(F.col("utc_us").isNotNull()).select("row.id", "row.title", "row.venue", F.col("row.location").alias("town"), F.col("utc_us").alias("start_us"), F.col("row.discovered_at").cast("timestamp").alias("at"))
+
+
+#: The newest days of discovery, which p5_found adds to the index as a batch of their own.
+NEWEST_DAYS = 30
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each later listing of a happening with the listing accepted first: an index of the history, then the newest batch against it."""
+    newest = table(spark, folder, "event_candidates").agg(F.date_format(F.max("discovered_at") - F.make_dt_interval(days=F.lit(NEWEST_DAYS)), "yyyy-MM-dd")).first()[0]
+    pairs = first_listings(materialise(listings_with_starts(spark, folder), "starts"), [newest] if newest else None)
     return pairs.select(F.least("later", "first").alias("candidate_a"), F.greatest("later", "first").alias("candidate_b"))
 
 
+def p5_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """What the graph walks find of what an exhaustive search finds, per shard of an index of all listings; every 50th vector asks."""
+    index = ListingIndex(spark)
+    index.add(listings_with_starts(spark, folder))
+    found = index.recall().agg(F.count(F.lit(1)).alias("shards"), F.max("vectors").alias("largest"), F.sum("asked").alias("asked"), F.sum("similar").alias("similar"), F.sum("found").alias("found"))
+    return found.select("*", (F.col("found") / F.col("similar")).alias("recall"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each linked record with the smallest record id of its group."""
     return components(table(spark, folder, "dedup_decisions").where(F.col("verdict") == "merged"), "record_a", "record_b")
@@ -87,7 +105,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return find_garbled(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_recall": p5_recall, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 
 ORACLES = {
     "p1_found": """
