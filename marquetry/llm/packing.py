@@ -1,9 +1,8 @@
-"""Items packed into containers of fixed capacity: best fit, then swap-based local search."""
+"""Items packed into containers of fixed capacity: first fit, then swap-based local search."""
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,15 +11,11 @@ from marquetry.operators.lineage import materialise
 
 #: Items that are packed together, about.
 BLOCK = 20_000
-#: Sweeps of the local search at most; each ends when no exchange helps.
-SWEEPS = 6
-
-
 #: Container kinds at most; they are a literal of the plan.
 KINDS = 1_000
 
 
-def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, block: int = BLOCK, sweeps: int = SWEEPS) -> DataFrame:
+def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, block: int = BLOCK, search: bool = True) -> DataFrame:
     """(container_kind, container_id, ``key``, part, first_token, tokens): every item in exactly one container of each kind.
 
     ``capacities(container_kind, capacity)``. Only an item larger than a capacity is split: into parts as large as the container, which fill one
@@ -28,7 +23,7 @@ def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, block: in
     null sizes count as zero. Capacities below one and null ones are left out. Empty tables give nothing.
 
     Items are hashed into blocks, so that no task holds more than a block of one kind, and packed within them: a block leaves few containers
-    underfull beside its hundreds. ``capacities`` becomes a literal; more than ``KINDS`` rows raise ValueError.
+    underfull beside its hundreds. Without ``search`` the first fit stays as it is. ``capacities`` becomes a literal; more than ``KINDS`` rows raise ValueError.
     """
     kind = items.schema[key].dataType.simpleString()
     base = items.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("n"))
@@ -49,102 +44,121 @@ def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, block: in
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         capacity = int(group.capacity.iloc[0])
-        order = group.sort_values(["rest", "u"], ascending=[False, True])
-        bins = improve(best_fit(order.rest.tolist(), capacity), order.rest.tolist(), capacity, sweeps)
+        order = group.sort_values("u")
+        sizes = order.rest.tolist()
+        bins = first_fit(sizes, capacity)
+        bins = improve(bins, sizes, capacity) if search else bins
         where = {i: b for b, members in enumerate(bins) for i in members}
         order = order.reset_index(drop=True)
         return pd.DataFrame({"container_kind": order.container_kind, "bin": [where[i] for i in range(len(order))], "block": order.block, "k": order.k, "part": order.whole.astype("int32"), "first_token": order.whole * capacity, "tokens": order.rest})
 
-    packed = rest.select("container_kind", "capacity", "block", "k", "u", "whole", "rest").groupBy("container_kind", "block").applyInPandas(run, f"container_kind string, bin long, block long, k {kind}, part int, first_token long, tokens long")
+    packed = rest.select("container_kind", "capacity", "block", "k", "u", "whole", "rest").repartition(max(1, 2 * blocks * len(kinds)), "container_kind", "block").groupBy("container_kind", "block").applyInPandas(run, f"container_kind string, bin long, block long, k {kind}, part int, first_token long, tokens long")
     packed = packed.select("container_kind", name(F.lit("p"), F.col("block"), F.col("bin")).alias("container_id"), F.col("k").alias(key), "part", "first_token", "tokens")
     return full.unionByName(packed)
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Indices per container; each item, largest first, goes where it leaves the least room."""
+def first_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Indices per container; each item, in the order given, goes into the first container with room for it. A tree over the rooms finds that one."""
+    leaves = 1 << max(1, len(sizes) - 1).bit_length()
+    room = [capacity] * (2 * leaves)
     bins: list[list[int]] = []
-    rooms: list[tuple[int, int]] = []
     for i, n in enumerate(sizes):
-        at = bisect.bisect_left(rooms, (n, -1))
-        if at < len(rooms):
-            room, b = rooms.pop(at)
-        else:
-            room, b = capacity, len(bins)
+        at = 1
+        while at < leaves:
+            at = 2 * at if room[2 * at] >= n else 2 * at + 1
+        if at - leaves == len(bins):
             bins.append([])
-        bins[b].append(i)
-        if room - n > 0:
-            bisect.insort(rooms, (room - n, b))
+        bins[at - leaves].append(i)
+        room[at] -= n
+        while at > 1:
+            at //= 2
+            room[at] = max(room[2 * at], room[2 * at + 1])
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, sweeps: int = SWEEPS) -> list[list[int]]:
-    """Local search over the underfull containers: an item moves, or one or two are exchanged for one larger, wherever the sum of squared
-    fills grows; an emptied container is dropped. The emptiest gives first, fuller ones take."""
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search over the underfull containers until no exchange is left: an item moves, or is exchanged for one or two smaller ones that come back,
+    wherever the sum of squared fills grows. Emptied containers are dropped.
+
+    The emptiest container gives first, its largest item first, and the taker is the one that this leaves fullest. All that a container may give back,
+    nothing, an item or two, stands in one sorted table; what changed since is passed over, and once that is a quarter the next sweep makes the table anew. The search ends
+    with a sweep in which nothing changed, so no such exchange is left, or when less than one container's room is open, so that none can be emptied.
+    Squared fills are whole numbers that only grow, so it does end. Of equal sizes in a container one stands for all.
+    """
     bins = [list(b) for b in bins]
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(sweeps):
-        changed = False
-        loose = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
-        if sum(capacity - fill[b] for b in loose) < capacity:
-            break  # what is left open is less than a container: none can be emptied
-        by_room = sorted((capacity - fill[b], b) for b in loose)
-        for giver in loose[: max(8, len(loose) // 4)]:
+    fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+    while True:
+        loose = [b for b in np.argsort(fill, kind="stable").tolist() if bins[b] and fill[b] < capacity]
+        open_ = sum(capacity - int(fill[b]) for b in loose)
+        if open_ < capacity:
+            break
+        table = _offers(bins, sizes, fill, loose, capacity)
+        fresh, stale, changed = np.ones(len(bins), bool), set(), False
+        for giver in loose:
+            if open_ < capacity or len(loose) < 4 * len(stale):
+                break
             for item in sorted(bins[giver], key=lambda i: -sizes[i]):
-                n = sizes[item]
-                lo = bisect.bisect_left(by_room, (1, -1))
-                taken = None
-                for room, taker in by_room[lo : lo + 400]:
-                    if taker == giver or fill[taker] < fill[giver] or capacity - fill[taker] != room:
-                        continue
-                    if room >= n:
-                        taken = (taker, [])
-                        break
-                    # give back less than is taken, within the room: the fuller grows, the emptier shrinks
-                    back = [i for i in bins[taker] if n - room <= sizes[i] < n]
-                    if back:
-                        taken = (taker, [min(back, key=lambda i: sizes[i])])
-                        break
-                    pair = _pair(bins[taker], sizes, n - room, n)
-                    if pair:
-                        taken = (taker, pair)
-                        break
-                if taken:
-                    taker, back = taken
-                    returned = sum(sizes[i] for i in back)
-                    bins[giver].remove(item)
-                    bins[taker].append(item)
-                    for i in back:
-                        bins[taker].remove(i)
-                        bins[giver].append(i)
-                    fill[giver] += returned - n
-                    fill[taker] += n - returned
-                    by_room = [x for x in by_room if x[1] not in (giver, taker)]
-                    for b in (giver, taker):
-                        if bins[b] and fill[b] < capacity:
-                            bisect.insort(by_room, (capacity - fill[b], b))
-                    changed = True
-                    if not bins[giver]:
-                        break
+                if (taken := _taker(table, sizes[item], giver, fill, fresh)) is None:
+                    continue
+                taker, back = taken
+                back = _members(bins[taker], sizes, back)
+                bins[giver].remove(item)
+                bins[taker] = [i for i in bins[taker] if i not in back] + [item]
+                bins[giver] += back
+                moved = sizes[item] - sum(sizes[i] for i in back)
+                fill[giver] -= moved
+                fill[taker] += moved
+                fresh[giver] = fresh[taker] = False
+                stale |= {giver, taker}
+                changed = True
+            if not bins[giver]:
+                open_ -= capacity
         if not changed:
             break
     return [b for b in bins if b]
 
 
-def _pair(members: list[int], sizes: list[int], least: int, below: int) -> list[int] | None:
-    """Two members with a total in [least, below), the smallest such total first."""
-    if len(members) < 2 or len(members) > 200:
-        return None
-    order = sorted(members, key=lambda i: sizes[i])
-    best = None
-    hi = len(order) - 1
-    for lo in range(len(order)):
-        while hi > lo and sizes[order[lo]] + sizes[order[hi]] >= below:
-            hi -= 1
-        if hi <= lo:
-            break
-        j = bisect.bisect_left(order, least - sizes[order[lo]], lo + 1, hi + 1, key=lambda i: sizes[i])
-        if j <= hi:
-            total = sizes[order[lo]] + sizes[order[j]]
-            if best is None or total < best[0]:
-                best = (total, [order[lo], order[j]])
-    return best[1] if best else None
+def _members(members: list[int], sizes: list[int], wanted: tuple[int, ...]) -> list[int]:
+    found: list[int] = []
+    for m in wanted:
+        found.append(next(i for i in members if sizes[i] == m and i not in found))
+    return found
+
+
+def _offers(bins: list[list[int]], sizes: list[int], fill: np.ndarray, loose: list[int], capacity: int) -> tuple[np.ndarray, ...]:
+    """(reach, returned, bin, size one, size two), by reach: a container that gives back ``returned`` can take up to ``reach``, its room and that; sizes are -1 where nothing is given."""
+    counts = [len(bins[b]) for b in loose]
+    at = np.repeat(np.array(loose), counts)
+    size = np.array([sizes[i] for b in loose for i in bins[b]], np.int64)
+    order = np.lexsort((size, at))
+    at, size = at[order], size[order]
+    first = np.r_[True, (at[1:] != at[:-1]) | (size[1:] != size[:-1])]
+    twice = np.flatnonzero(np.diff(np.r_[np.flatnonzero(first), len(at)]) > 1)
+    at, size = at[first], size[first]
+    # each size with every larger one of its container
+    partners = np.searchsorted(at, at, side="right") - np.arange(len(at)) - 1
+    low = np.repeat(np.arange(len(at)), partners)
+    high = low + 1 + np.arange(len(low)) - np.repeat(np.cumsum(partners) - partners, partners)
+    bin_ = np.r_[loose, at, at[low], at[twice]]
+    one = np.r_[np.full(len(loose), -1), size, size[low], size[twice]]
+    two = np.r_[np.full(len(loose) + len(at), -1), size[high], size[twice]]
+    returned = np.maximum(one, 0) + np.maximum(two, 0)
+    reach = capacity - fill[bin_] + returned
+    order = np.lexsort((bin_, returned, reach))
+    return reach[order], returned[order], bin_[order], one[order], two[order]
+
+
+def _taker(table: tuple[np.ndarray, ...], n: int, giver: int, fill: np.ndarray, fresh: np.ndarray) -> tuple[int, tuple[int, ...]] | None:
+    """The container that takes an item of size ``n`` and is left with the least room, and the sizes it gives back; null if no exchange lets the squared fills grow."""
+    reach, returned, bin_, one, two = table
+    at, step = int(np.searchsorted(reach, n)), 64
+    filled = int(fill[giver])
+    while at < len(reach):
+        part = slice(at, at + step)
+        b = bin_[part]
+        good = fresh[b] & (b != giver) & (returned[part] < n) & (fill[b] - returned[part] > filled - n)
+        if good.any():
+            k = at + int(good.argmax())
+            return int(bin_[k]), tuple(int(m) for m in (one[k], two[k]) if m >= 0)
+        at, step = at + step, step * 4
+    return None

@@ -67,16 +67,22 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in a container of each kind; only documents larger than the container are split."""
+    return pack(*_sized(spark, folder), "doc_id", "tokens")
+
+
+def _sized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sizes = count_tokens(table(spark, folder, "documents"), "doc_id", "text")
-    kinds = table(spark, folder, "container_sizes").select("container_kind", F.col("capacity_tokens").alias("capacity"))
-    return pack(sizes, kinds, "doc_id", "tokens")
+    return sizes, table(spark, folder, "container_sizes").select("container_kind", F.col("capacity_tokens").alias("capacity"))
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers, tokens and fill of each kind, beside the fewest containers possible."""
-    kinds = table(spark, folder, "container_sizes")
-    used = p7_containers(spark, folder).groupBy("container_kind").agg(F.count_distinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
-    return used.join(kinds, "container_kind").select("container_kind", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+    """Containers of each kind after the first fit and after the search, tokens and fill, beside the fewest containers possible."""
+    sizes, kinds = _sized(spark, folder)
+    sizes = materialise(sizes, "sizes")
+    before = pack(sizes, kinds, "doc_id", "tokens", search=False).groupBy("container_kind").agg(F.count_distinct("container_id").alias("first_fit"))
+    used = pack(sizes, kinds, "doc_id", "tokens").groupBy("container_kind").agg(F.count_distinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    fill = F.col("tokens") / (F.col("containers") * F.col("capacity"))
+    return used.join(before, "container_kind").join(kinds, "container_kind").select("container_kind", "first_fit", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("fewest"), fill.alias("fill"))
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 from marquetry.llm.mixing import mix, reachable_total
-from marquetry.llm.packing import best_fit, improve, pack
+from marquetry.llm.packing import first_fit, improve, pack
 
 
 def fewest(sizes, capacity):
@@ -55,8 +55,8 @@ def test_pack_of_nothing(spark):
 def test_local_search_never_loses_or_overfills():
     random.seed(6)
     for _ in range(20):
-        sizes = sorted((random.randrange(20, 70) for _ in range(120)), reverse=True)
-        first = best_fit(sizes, 100)
+        sizes = [random.randrange(20, 70) for _ in range(120)]
+        first = first_fit(sizes, 100)
         better = improve(first, sizes, 100)
         assert sorted(i for b in better for i in b) == list(range(120))
         assert max(sum(sizes[i] for i in b) for b in better) <= 100
@@ -64,6 +64,34 @@ def test_local_search_never_loses_or_overfills():
         assert sum(sum(sizes[i] for i in b) ** 2 for b in better) >= sum(sum(sizes[i] for i in b) ** 2 for b in first)
 
 
+def test_first_fit_takes_the_first_container_with_room():
+    assert first_fit([5, 6, 4, 5, 0, 10, 1], 10) == [[0, 2, 4, 6], [1], [3], [5]]
+    assert first_fit([], 10) == [] and first_fit([3], 3) == [[0]]
+
+
+def test_local_search_empties_containers_that_the_first_fit_leaves():
+    """Hard sizes, around a third of the capacity: containers that can be full to the brim, shuffled."""
+    random.seed(8)
+    sizes = []
+    for _ in range(300):
+        a, b = random.randrange(250, 420), random.randrange(250, 330)
+        sizes += [a, b, 1000 - a - b]
+    random.shuffle(sizes)
+    first = first_fit(sizes, 1000)
+    better = improve(first, sizes, 1000)
+    assert sorted(i for b in better for i in b) == list(range(900)) and max(sum(sizes[i] for i in b) for b in better) <= 1000
+    assert len(first) >= 320 and len(better) <= 306
+
+
+def test_local_search_of_many_items_in_one_container():
+    """Large containers of small items: pairs are those of distinct sizes, and nothing is left out for their number."""
+    random.seed(9)
+    sizes = [random.choice([1, 2, 3, 5, 8]) for _ in range(6000)] + [997] * 9
+    random.shuffle(sizes)
+    better = improve(first_fit(sizes, 1000), sizes, 1000)
+    assert sorted(i for b in better for i in b) == list(range(len(sizes))) and len(better) == -(-sum(sizes) // 1000)
+
+
 def test_mix_meets_targets_and_caps(spark):
     random.seed(7)
     docs = [(i, random.choice("aaaab"), random.randrange(1, 400)) for i in range(3000)] + [(5000 + i, "tiny", 50) for i in range(20)] + [(9000, None, 5), (9001, "a", None), (9002, "a", 0), (9003, "zzz", 5)]
