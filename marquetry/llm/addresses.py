@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,43 +20,68 @@ TYPES = {
 }
 DIRECTIONS = {"north": "north n no", "south": "south s so", "east": "east e", "west": "west w", "northeast": "northeast ne", "northwest": "northwest nw", "southeast": "southeast se", "southwest": "southwest sw"}
 UNITS = "suite ste unit floor fl flr level apt apartment room rm bldg building rear lower upper upstairs downstairs basement bsmt front mezzanine".split()
-STATES = {"ma": "ma mass massachusetts", "nh": "nh", "ct": "ct conn connecticut", "me": "me maine", "vt": "vt vermont", "ri": "ri", "ny": "ny", "nj": "nj", "pa": "pa penn pennsylvania"}
-STATE_PHRASES = {("new", "hampshire"): "nh", ("rhode", "island"): "ri", ("new", "york"): "ny", ("new", "jersey"): "nj", ("n", "h"): "nh", ("r", "i"): "ri", ("n", "y"): "ny", ("n", "j"): "nj", ("u", "s", "a"): "usa", ("u", "s"): "usa", ("united", "states", "of", "america"): "usa", ("united", "states"): "usa"}
+STATES = """al alabama ala|ak alaska|az arizona ariz|ar arkansas ark|ca california calif|co colorado colo|ct connecticut conn|de delaware|dc district of columbia|fl florida fla|ga georgia|hi hawaii|id idaho|il illinois ill|in indiana ind|ia iowa
+ks kansas|ky kentucky|la louisiana|me maine|md maryland|ma massachusetts mass|mi michigan mich|mn minnesota minn|ms mississippi miss|mo missouri|mt montana mont|ne nebraska neb|nv nevada nev|nh new hampshire|nj new jersey|nm new mexico|ny new york
+nc north carolina|nd north dakota|oh ohio|ok oklahoma okla|or oregon ore|pa pennsylvania penn|ri rhode island|sc south carolina|sd south dakota|tn tennessee tenn|tx texas tex|ut utah|vt vermont|va virginia|wa washington wash|wv west virginia|wi wisconsin wis|wy wyoming wyo"""
+COUNTRY = ("usa", "us", "u s a", "u s", "united states", "united states of america")
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
 ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split()
 PREFIXES = {"st": "saint", "mt": "mount", "ft": "fort"}
 
 _TYPE = {short: full for full, all_ in TYPES.items() for short in all_.split()}
 _DIRECTION = {short: full for full, all_ in DIRECTIONS.items() for short in all_.split()}
-_STATE = {short: full for full, all_ in STATES.items() for short in all_.split()}
+_TWO_WORDS = ("new", "north", "south", "west", "rhode", "district")
+_STATE, _PHRASES = {}, {tuple(c.split()): "usa" for c in COUNTRY}
+for _line in STATES.replace("\n", "|").split("|"):
+    _short, *_names = _line.split()
+    _STATE[_short] = _short
+    _PHRASES[tuple(_short)] = _short
+    if _names[0] in _TWO_WORDS:
+        _PHRASES[tuple(_names)] = _short
+    else:
+        _STATE |= dict.fromkeys(_names, _short)
+_BY_FIRST: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+for _phrase, _short in sorted(_PHRASES.items(), key=lambda x: -len(x[0])):
+    _BY_FIRST.setdefault(_phrase[0], []).append((_phrase, _short))
 _NUMBER = {w: str(i) for i, w in enumerate(NUMBERS, 1)}
 _ORDINAL = {w: i for i, w in enumerate(ORDINALS, 1)}
-FIXED_WORDS = sorted({*_TYPE, *_DIRECTION, *_STATE, *_NUMBER, *_ORDINAL, *UNITS, *(w for p in STATE_PHRASES for w in p), "usa", "saint", "mount", "fort", "upstairs", "the"})
+FIXED_WORDS = sorted({*_TYPE, *_DIRECTION, *_STATE, *_NUMBER, *_ORDINAL, *UNITS, *(w for p in _PHRASES for w in p), "usa", "saint", "mount", "fort", "upstairs", "the"})
 
-_TOKEN = re.compile(r"[a-z0-9]+(?:'[a-z]+)?|[,/\n|;()-]")
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W\d_]+)?|[,/\n|;()-]")
+
+
+def folded(text: str) -> str:
+    """Lower case without accents."""
+    text = unicodedata.normalize("NFKD", text.casefold().replace("’", "'"))
+    return text if text.isascii() else "".join(c for c in text if not unicodedata.combining(c))
 
 
 def tokens_of(address: str, names: tuple[str, ...] = ()) -> list[str]:
-    """Lower-case words and separators; a leading name of the venue is taken off."""
-    text = re.sub(r"[^\S\n]+", " ", address.casefold().replace("’", "'")).strip()
+    """Lower-case words without accents, and separators; a leading name of the venue is taken off."""
+    text = re.sub(r"[^\S\n]+", " ", folded(address)).strip()
     for name in names:
-        low = re.sub(r"\s+", " ", (name or "").casefold().replace("’", "'")).strip()
+        low = re.sub(r"\s+", " ", folded(name or "")).strip()
         if low and text.startswith(low) and not text[len(low) : len(low) + 1].isalnum():
             text = text[len(low) :].lstrip(" ,/-\n|;")
             break
     return _TOKEN.findall(re.sub(r"(?<=[a-z])\.(?=[a-z])", ". ", text).replace(".", " "))
 
 
-def parse(tokens: list[str], towns: dict[str, str]) -> dict[str, str] | None:
-    """The parts number, direction, name, type, area and state; null without a number, a name or an area.
+def is_word(token: str) -> bool:
+    return token.replace("'", "").isalnum()
+
+
+def parse(tokens: list[str], towns: dict[str, frozenset[str]]) -> dict[str, str] | None:
+    """The parts number, direction, name, type, town, code and state, empty where they are missing; null without a number or a name.
 
-    ``towns`` gives the postal code for a town's name; the area is the postal code stated, or else that of the town.
+    ``towns`` has the postal codes of each town's name; a town has one or several.
     """
     words: list[str] = []
     i = 0
     while i < len(tokens):
-        for phrase, short in STATE_PHRASES.items():
-            if tuple(tokens[i : i + len(phrase)]) == phrase:
+        for phrase, short in _BY_FIRST.get(tokens[i], ()):
+            after = tokens[i + len(phrase)] if i + len(phrase) < len(tokens) else ","
+            if tuple(tokens[i : i + len(phrase)]) == phrase and (len(phrase[-1]) > 1 or not is_word(after) or after.isdigit() or after in ("u", "usa")):
                 words.append(short)
                 i += len(phrase)
                 break
@@ -64,11 +90,17 @@ def parse(tokens: list[str], towns: dict[str, str]) -> dict[str, str] | None:
             i += 1
     is_unit = lambda j: 0 <= j < len(words) and words[j] in UNITS
 
+    def is_state(j: int) -> bool:
+        """A state stands at the end, before a separator, a postal code or the country; elsewhere such a word is an ordinary one, and behind a number it is a floor."""
+        if words[j] in UNITS and j and (words[j - 1] in _ORDINAL or words[j - 1] in _NUMBER or words[j - 1][0].isdigit()):
+            return False
+        return words[j] in _STATE and (j + 1 == len(words) or not is_word(words[j + 1]) or words[j + 1] == "usa" or bool(re.fullmatch(r"\d{5}", words[j + 1])))
+
     def leads_to_type(j: int) -> bool:
-        for w in words[j + 1 : j + 6]:
-            if w in _TYPE:
+        for k in range(j + 1, min(j + 6, len(words))):
+            if words[k] in _TYPE:
                 return True
-            if not w.isalnum() or w in _STATE:
+            if not words[k].isalnum() or is_state(k):
                 return False
         return False
 
@@ -89,15 +121,15 @@ def parse(tokens: list[str], towns: dict[str, str]) -> dict[str, str] | None:
         direction = _DIRECTION[words[j]]
         j += 1
     name: list[str] = []
-    while j < len(words) and words[j].isalnum() | ("'" in words[j]):
+    while j < len(words) and is_word(words[j]):
         w = words[j]
-        if not name and w in PREFIXES and j + 1 < len(words) and words[j + 1].isalpha() and words[j + 1] not in _STATE:
+        if not name and w in PREFIXES and j + 1 < len(words) and words[j + 1].isalpha() and not is_state(j + 1):
             name.append(PREFIXES[w])
         elif name and w in _TYPE and not (w == "ct" and name == ["saint"]):
             kind = _TYPE[w]
             j += 1
             break
-        elif name and (w in _STATE or w == code or is_unit(j) or (w in towns and towns[w] == (code or towns[w]))):
+        elif name and (is_state(j) or w in (code, "usa") or is_unit(j) or (w in towns and (code is None or code in towns[w]))):
             break
         elif re.fullmatch(r"\d{5}", w):
             break
@@ -109,12 +141,10 @@ def parse(tokens: list[str], towns: dict[str, str]) -> dict[str, str] | None:
         return None
     if direction is None and kind and j < len(words) and words[j] in _DIRECTION:
         direction = _DIRECTION[words[j]]
-    rest = words[:at] + words[j:]
-    town = next((w for w in rest if w in towns), None)
-    area = code or (towns[town] if town else None)
-    if area is None:
-        return None
-    return {"number": number, "direction": direction or "", "name": " ".join(name), "type": kind or "", "area": area}
+    rest = [*range(at), *range(j, len(words))]
+    town = next((words[k] for k in rest if words[k] in towns), None)
+    state = next((_STATE[words[k]] for k in reversed(rest) if is_state(k)), None)
+    return {"number": number, "direction": direction or "", "name": " ".join(name), "type": kind or "", "town": town or "", "code": code or "", "state": state or ""}
 
 
 def token_corrections(words: DataFrame, ratio: int = 8, least: int = 8) -> DataFrame:
@@ -122,7 +152,7 @@ def token_corrections(words: DataFrame, ratio: int = 8, least: int = 8) -> DataF
 
     ``words(word, n)``. Words share a key if they are equal after one deletion in either, so only neighbours meet; an adjacent swap counts as one edit.
     """
-    usable = words.where((F.length("word") >= 4) & F.col("word").rlike("^[a-z']+$"))
+    usable = words.where((F.length("word") >= 4) & F.col("word").rlike("^[\\p{L}']+$"))
     keys = F.explode(F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word")))))))
     rare = usable.where(~F.col("word").isin(FIXED_WORDS)).select("word", "n", keys.alias("k"))
     often = usable.where(F.col("n") >= least).select(F.col("word").alias("right"), F.col("n").alias("m"), keys.alias("k"))
@@ -183,7 +213,7 @@ def mended_names(sets: list[tuple[str, str, str, int]]) -> list[str]:
     return [sets[best[top(i)]][0] for i in range(len(sets))]
 
 
-def near_towns(towns: dict[str, str]) -> dict[str, list[str]]:
+def near_towns(towns: dict[str, frozenset[str]]) -> dict[str, list[str]]:
     """The towns of four letters or more under their deletion keys."""
     found: dict[str, list[str]] = {}
     for town in sorted(towns):
@@ -192,30 +222,55 @@ def near_towns(towns: dict[str, str]) -> dict[str, list[str]]:
     return found
 
 
-def parse_guessing(tokens: list[str], towns: dict[str, str], near: dict[str, list[str]]) -> list[dict[str, str]]:
-    """The readings of an address in which a town is misspelt: one for each town within one edit of one of the words."""
+def readings(tokens: list[str], towns: dict[str, frozenset[str]], near: dict[str, list[str]]) -> list[tuple[bool, dict[str, str]]]:
+    """(guessed, parts): what an address may say. Where it names neither a known town nor a code, there is one for each town within one edit of one of
+    its words, and if there is none, the reading without an area."""
+    plain = parse(tokens, towns)
+    if plain and (plain["town"] or plain["code"]):
+        return [(False, plain)]
     found = []
     for i, w in enumerate(tokens):
-        if len(w) >= 4 and re.fullmatch("[a-z']+", w) and w not in FIXED_WORDS:
+        if len(w) >= 4 and w.replace("'", "").isalpha() and w not in FIXED_WORDS:
             for town in sorted({t for key in deletions(w) for t in near.get(key, ()) if one_edit(w, t)}):
                 p = parse([*tokens[:i], town, *tokens[i + 1 :]], towns)
-                if p and p not in found:
-                    found.append(p)
-    return found
+                if p and p["town"] and (True, p) not in found:
+                    found.append((True, p))
+    return found or ([(False, plain)] if plain else [])
+
+
+PARTS = ["number", "direction", "name", "type", "town", "code", "state"]
+#: The share of a town's records with a code that one of its codes must have to stand for records without one.
+MAIN_CODE = 0.9
+#: Records of one location that meet in one task; a location with more is joined in blocks.
+MEETING = 1_000
 
 
 def same_addresses(records: DataFrame, key: str, address: str, names: list[str], least_containment: float = 0.999) -> DataFrame:
-    """(a, b) pairs of different keys, smaller first, whose addresses denote one location.
+    """(a, b) pairs of different keys, smaller first, whose addresses denote one location, as ``locations`` has it. A location of many records is joined block by block."""
+    placed = materialise(locations(records, key, address, names, least_containment).select("key", "location").distinct(), "address-locations")
+    blocks = placed.groupBy("location").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("blocks"))
+    each = placed.join(blocks, "location").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # every two blocks meet once, the smaller first
+    left = each.select("location", F.col("key").alias("x"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = each.select("location", F.col("key").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    met = left.join(right, ["location", "i", "j"]).where((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & (F.col("i") < F.col("j"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def locations(records: DataFrame, key: str, address: str, names: list[str], least_containment: float = 0.999) -> DataFrame:
+    """(key, location) for every record with a readable address; ``location`` is the struct of the fullest address of that place.
 
     A location is a building: number, street and town agree, units and floors do not count, parts that one of the addresses
-    lacks (street type, direction, postal code or town) contradict nothing. Null and unreadable addresses give no pair, repeated rows none
-    with themselves.
+    lacks (street type, direction, postal code, town or state) contradict nothing. Null and unreadable addresses, without a number or a street, give no
+    row; repeated rows give one. Postal codes are those of five digits; a town is one word, that of most records with a code.
 
     Rare misspellings are replaced by the frequent word one edit away (a corpus statistic). Whatever the frequencies, names one edit apart at one
     number and area are one street, and a town that is not known is read as one within an edit, as the one with records of that number
-    and name where there are several; frequency only chooses the spelling. Each distinct set of canonical parts is indexed
-    under its rarest token; fuller or equal sets probe with all of theirs; weighted containment and the absence of contradictory
-    parts are verified. A set that fits fuller ones which contradict each other goes to the one with more records. Copies are expanded last.
+    and name where there are several; frequency only chooses the spelling. What a code or a town implies is added: its town, its state, its main code.
+
+    Each distinct set of tokens (number, words of the name, type, direction, town, code, state) is indexed under its rarest token beside the number;
+    fuller sets probe with all of theirs; weighted containment and the absence of contradictory parts are verified. A set that fits several
+    goes to the fullest street, then to the one with more records; an address without any area only if the fuller ones are all of one area.
     """
     spark = records.sparkSession
     kind = records.schema[key].dataType.simpleString()
@@ -233,34 +288,43 @@ def same_addresses(records: DataFrame, key: str, address: str, names: list[str],
     right = tokens.join(mended, ["key", "tokens"], "left").select("key", F.when(F.col("fix").isNull(), F.col("tokens")).otherwise(F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at("fix", i), t))).alias("tokens"))
     right = materialise(right, "address-right")
 
-    # the town of a postal code: the word most often with it; at most one row per five-digit code
-    code = F.element_at(F.filter("tokens", lambda t: t.rlike(r"^\d{5}$")), -1)
-    with_code = right.where(F.exists("tokens", lambda t: t.rlike(r"^\d{5}$"))).select(code.alias("code"), F.explode(F.array_distinct(F.filter("tokens", lambda t: t.rlike("^[a-z']{3,}$")))).alias("word")).where(~F.col("word").isin(FIXED_WORDS))
-    counted = with_code.groupBy("code", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.groupBy("code").agg(F.max_by("word", F.struct("n", "word")).alias("word"), F.max("n").alias("n"))
-    towns = {r.word: r.code for r in top.groupBy("word").agg(F.max_by("code", F.struct("n", "code")).alias("code")).limit(100_000).collect()}
+    # the towns: of each code the word most often with it, so a row per five-digit code at most
+    is_code = lambda t: t.rlike(r"^\d{5}$")
+    code = F.element_at(F.filter("tokens", is_code), -1)
+    with_code = right.where(F.exists("tokens", is_code)).select(code.alias("code"), F.explode(F.array_distinct(F.filter("tokens", lambda t: t.rlike("^[\\p{L}']{3,}$")))).alias("word")).where(~F.col("word").isin(FIXED_WORDS))
+    top = with_code.groupBy("code", "word").agg(F.count(F.lit(1)).alias("n")).groupBy("code").agg(F.max_by("word", F.struct("n", "word")).alias("word"), F.max("n").alias("n"))
+    found = top.collect()  # 100,000 rows at most
+    codes: dict[str, dict[str, int]] = {}
+    for r in found:
+        codes.setdefault(r.word, {})[r.code] = r.n
+    towns = {w: frozenset(c) for w, c in codes.items()}
     shared = spark.sparkContext.broadcast(towns)
-    part = ["number", "direction", "name", "type", "area"]
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near = near_towns(shared.value)
         for b in batches:
-            found = []
-            for k, t in zip(b.key, b.tokens):
-                if p := parse(list(t), shared.value):
-                    found.append({"key": k, "guessed": None, **p})
-                else:
-                    found += [{"key": k, "guessed": " ".join(t), **p} for p in parse_guessing(list(t), shared.value, near)]
-            yield pd.DataFrame(found, columns=["key", "guessed", *part])
-
-    read = materialise(right.mapInPandas(parts, f"key {kind}, guessed string, number string, direction string, name string, type string, area string"), "address-parts")
+            read = [{"key": k, "guessed": " ".join(t) if guess else None, **p} for k, t in zip(b.key, b.tokens) for guess, p in readings(list(t), shared.value, near)]
+            yield pd.DataFrame(read, columns=["key", "guessed", *PARTS])
+
+    read = materialise(right.mapInPandas(parts, f"key {kind}, guessed string, " + ", ".join(f"{p} string" for p in PARTS)), "address-parts")
+    # what a code or a town implies
+    main = [(w, c, n) for w, own in codes.items() for c, n in own.items() if n >= MAIN_CODE * sum(own.values())]
+    by_code = spark.createDataFrame([(r.code, r.word) for r in found], "code string, its_town string")
+    by_town = spark.createDataFrame([x[:2] for x in main], "town string, its_code string")
+    full = read.join(by_code, "code", "left").withColumn("town", F.when(F.col("town") == "", F.coalesce("its_town", F.lit(""))).otherwise(F.col("town")))
+    full = full.join(by_town, "town", "left").withColumn("code", F.when(F.col("code") == "", F.coalesce("its_code", F.lit(""))).otherwise(F.col("code")))
+    states = full.where("code <> '' AND state <> ''").groupBy("code", "state").agg(F.count(F.lit(1)).alias("n")).groupBy("code").agg(F.max_by("state", F.struct("n", "state")).alias("its_state"))
+    full = full.join(states, "code", "left").withColumn("state", F.when(F.col("state") == "", F.coalesce("its_state", F.lit(""))).otherwise(F.col("state")))
+    read = materialise(full.select("key", "guessed", *PARTS, F.coalesce(F.nullif("code", F.lit("")), "town").alias("area")), "address-full")
+
     known = read.where("guessed IS NULL").groupBy("number", "name", "area").agg(F.count(F.lit(1)).alias("n"))
-    likely = Window.partitionBy("key", "guessed").orderBy(F.desc_nulls_last("n"), *part)
+    likely = Window.partitionBy("key", "guessed").orderBy(F.desc_nulls_last("n"), *PARTS)
     guesses = read.where("guessed IS NOT NULL").join(known, ["number", "name", "area"], "left").withColumn("r", F.row_number().over(likely)).where("r = 1")
-    read = materialise(read.where("guessed IS NULL").select("key", *part).unionByName(guesses.select("key", *part)), "address-read")
+    read = materialise(read.where("guessed IS NULL").select("key", *PARTS, "area").unionByName(guesses.select("key", *PARTS, "area")), "address-read")
 
     # misspelt names: where several stand at one number and area
-    spellings = read.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    street = ["number", "area", "name", "direction", "type"]
+    spellings = read.where("area <> ''").groupBy(*street).agg(F.count(F.lit(1)).alias("n"))
     names_n = spellings.groupBy("name").agg(F.sum("n").alias("m"))
     there = spellings.join(names_n, "name").groupBy("number", "area").agg(F.collect_list(F.struct("name", "direction", "type", "m")).alias("sets"), F.count_distinct("name").alias("names")).where("names > 1")
 
@@ -273,29 +337,34 @@ def same_addresses(records: DataFrame, key: str, address: str, names: list[str],
             yield pd.DataFrame(out, columns=["number", "area", "name", "direction", "type", "to"])
 
     mends = materialise(there.select("number", "area", "sets").mapInPandas(mend, "number string, area string, name string, direction string, type string, to string"), "address-names")
-    parsed = materialise(read.join(mends, part, "left").select("key", "number", "direction", F.coalesce("to", "name").alias("name"), "type", "area"), "address-mended")
-    sets = parsed.groupBy(*part).agg(F.count(F.lit(1)).alias("records"))
-    whole = F.filter(
-        F.array(F.concat(F.lit("na:"), "number", F.lit("|"), "area"), F.concat(F.lit("ns:"), "number", F.lit("|"), "name"), F.concat(F.lit("sa:"), "name", F.lit("|"), "area"), F.concat(F.lit("t:"), F.nullif("type", F.lit(""))), F.concat(F.lit("d:"), F.nullif("direction", F.lit("")))),
-        lambda t: t.isNotNull(),
-    )
-    sets = materialise(sets.withColumn("set", F.struct(*part)).withColumn("parts", whole), "address-sets")
-    weights = sets.select(F.explode("parts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    weighed = sets.select("set", "records", F.size("parts").alias("size"), F.explode("parts").alias("t")).join(weights, "t").withColumn("w", 1 / F.log1p(F.col("df") + 1))
+    rest = [p for p in PARTS if p not in street]
+    parsed = materialise(read.join(mends, street, "left").select("key", "number", "direction", F.coalesce("to", "name").alias("name"), "type", *rest), "address-mended")
+
+    # the containment join
+    sets = parsed.groupBy(*PARTS).agg(F.count(F.lit(1)).alias("records"))
+    token = lambda mark, p: F.when(F.col(p) != "", F.concat(F.lit(mark), F.col(p)))
+    whole = F.array_compact(F.concat(F.array(token("n:", "number"), token("t:", "type"), token("d:", "direction"), token("c:", "town"), token("z:", "code"), token("s:", "state")), F.transform(F.array_distinct(F.split("name", " ")), lambda w: F.concat(F.lit("w:"), w))))
+    sets = materialise(sets.select(F.struct(*PARTS).alias("set"), "records", whole.alias("tokens")), "address-sets")
+    weights = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    weighed = sets.select("set", "records", F.size("tokens").alias("size"), F.explode("tokens").alias("t")).join(weights, "t").withColumn("w", 1 / F.log1p(F.col("df") + 1))
     by_set = Window.partitionBy("set")
-    weighed = weighed.withColumn("total", F.sum("w").over(by_set)).withColumn("r", F.row_number().over(by_set.orderBy("df", "t")))
-    index = weighed.where("r = 1").select("t", F.col("set").alias("less"), F.col("size").alias("less_size"), F.col("total").alias("less_total"))
-    probes = weighed.select("t", F.col("set").alias("full"), F.col("size").alias("full_size"), F.col("records").alias("full_records"))
-    met = index.join(probes, "t").where((F.col("full_size") > F.col("less_size")) & (F.col("less") != F.col("full")))
-    agree = lambda p: (F.col(f"less.{p}") == F.col(f"full.{p}")) | (F.col(f"less.{p}") == "") | (F.col(f"full.{p}") == "")
-    met = met.where(agree("number") & agree("name") & agree("area") & agree("type") & agree("direction")).select("less", "less_total", "full", "full_records").distinct()
-    less_parts = weighed.select(F.col("set").alias("less"), "t", "w")
-    full_parts = weighed.select(F.col("set").alias("full"), "t")
-    held = met.join(less_parts, "less").join(full_parts, ["full", "t"]).groupBy("less", "full").agg(F.sum("w").alias("held"), F.first("less_total").alias("total"), F.first("full_records").alias("records"))
+    weighed = materialise(weighed.withColumn("total", F.sum("w").over(by_set)), "address-weights")
+    rarest = Window.partitionBy("set").orderBy("df", "t")
+    index = weighed.where(~F.col("t").startswith("n:")).withColumn("r", F.row_number().over(rarest)).where("r = 1").select(F.col("set.number").alias("number"), "t", F.col("set").alias("less"), F.col("size").alias("less_size"), F.col("total").alias("less_total"))
+    probes = weighed.select(F.col("set.number").alias("number"), "t", F.col("set").alias("full"), F.col("size").alias("full_size"), F.col("records").alias("full_records"))
+    met = index.join(probes, ["number", "t"]).where(F.col("full_size") > F.col("less_size"))
+    agree = F.col("less.name") == F.col("full.name")
+    for p in ("type", "direction", "town", "code", "state"):
+        agree = agree & ((F.col(f"less.{p}") == F.col(f"full.{p}")) | (F.col(f"less.{p}") == "") | (F.col(f"full.{p}") == ""))
+    met = met.where(agree).select("less", "less_total", "full", "full_records").distinct()
+    held = met.join(weighed.select(F.col("set").alias("less"), "t", "w"), "less").join(weighed.select(F.col("set").alias("full"), "t"), ["full", "t"])
+    held = held.groupBy("less", "full").agg(F.sum("w").alias("held"), F.first("less_total").alias("total"), F.first("full_records").alias("records"))
     fits = held.where(F.col("held") >= least_containment * F.col("total")).select("less", "full", "records")
-    # every set belongs to the fullest set that contains it; where fuller ones contradict each other, to the one with more records
-    choice = Window.partitionBy("less").orderBy(F.desc(F.expr("int(full.type != '') + int(full.direction != '')")), F.desc("records"), "full")
-    chosen = fits.withColumn("r", F.row_number().over(choice)).where("r = 1").select(F.col("less").alias("set"), F.col("full").alias("home"))
-    home = parsed.select("key", F.struct(*part).alias("set")).join(chosen, "set", "left").select("key", F.coalesce("home", "set").alias("home")).distinct()
-    placed = materialise(home, "address-homes")
-    return placed.alias("x").join(placed.alias("y"), "home").where(F.col("x.key") < F.col("y.key")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    has = lambda *ps: sum((F.when(F.col(f"full.{p}") != "", 1).otherwise(0) for p in ps), F.lit(0))
+    choice = Window.partitionBy("less").orderBy(F.desc(has("type", "direction")), F.desc(has("town", "code", "state")), F.desc("records"), "full")
+    of_less = Window.partitionBy("less")
+    areas = F.when((F.col("less.town") == "") & (F.col("less.code") == ""), F.size(F.collect_set(F.when((F.col("full.town") != "") | (F.col("full.code") != ""), F.struct("full.town", "full.code"))).over(of_less))).otherwise(1)
+    chosen = fits.withColumn("areas", areas).withColumn("r", F.row_number().over(choice)).where("r = 1 AND areas <= 1").select(F.col("less").alias("set"), F.col("full").alias("home"))
+    chosen = materialise(chosen, "address-homes")
+    further = chosen.join(chosen.select(F.col("set").alias("home"), F.col("home").alias("next")), "home", "left").select("set", F.coalesce("next", "home").alias("home"))
+    return parsed.select("key", F.struct(*PARTS).alias("set")).join(further, "set", "left").select("key", F.coalesce("home", "set").alias("location")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquetry.llm.addresses import same_addresses
+from marquetry.llm.addresses import locations, same_addresses
 from marquetry.llm.components import components
 from marquetry.llm.incremental import ListingIndex, first_listings
 from marquetry.llm.mixing import mix
@@ -33,6 +33,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("venue_a"), F.col("b").alias("venue_b"))
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each venue record with the smallest id of its location and the number of records there."""
+    placed = materialise(locations(table(spark, folder, "venues"), "id", "address", ["name", "canonical_name"]), "locations")
+    classes = placed.groupBy("location").agg(F.min("key").alias("class_id"), F.count_distinct("key").alias("records"))
+    return placed.join(classes, "location").select(F.col("key").alias("venue_id"), "class_id", "records").distinct()
+
+
 def listings_with_starts(spark: SparkSession, folder: str) -> DataFrame:
     """(id, title, venue, town, start_us, at): the listings of which title, venue and start can be read."""
     rows = table(spark, folder, "event_candidates").select("id", "source", "title", "venue", "location", "start_time", "discovered_at")
@@ -111,7 +118,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return find_garbled(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_recall": p5_recall, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_recall": p5_recall, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 
 ORACLES = {
     "p1_found": """
