@@ -62,6 +62,8 @@ class Comfort:
     zero: tuple[float, float]
     floor: tuple[float, float]
     weight: float = 1.0
+    fallback_for: str | None = None
+    supersedes: tuple[str, ...] = ()
 
     def value(self, reading: Column) -> Column:
         def side(distance: Column, ideal: float, zero: float, floor: float) -> Column:
@@ -80,11 +82,55 @@ class Comfort:
         return F.when(reading.isNotNull(), F.when(reading < self.ideal[0], low).when(reading > self.ideal[1], high).otherwise(1.0))
 
 
-def comfort(readings: dict[str, tuple[Column, Comfort]], caps: list[Column] | None = None) -> Column:
-    """The weighted mean over the readings there are, at most the smallest cap."""
+# The conditions of the public WMO codes; any other code is overcast.
+WMO = {"clear": (0, 1), "partly_cloudy": (2,), "overcast": (3, 45, 48), "rain": (51, 53, 55, 56, 57, 61, 63, 65, 66, 67, 80, 81, 82), "snow": (71, 73, 75, 77, 85, 86), "thunderstorm": (95, 96, 99)}
+
+
+def wmo_condition(code: Column) -> Column:
+    out = F.lit("overcast")
+    for name, codes in WMO.items():
+        out = F.when(code.isin(*codes), name).otherwise(out)
+    return out
+
+
+def comfort(readings: dict[str, tuple[Column, Comfort]], condition: Column | None = None, penalties: dict[str, float] | None = None) -> Column:
+    """The weighted mean over the curves that count, at most the smallest cap; zero where no curve counts, null where nothing is known at all.
+
+    A curve with ``fallback_for`` counts only where that reading is missing. One that ``supersedes`` others is a cap and no part of the mean. A negative
+    penalty of the ``condition`` caps too, unless a curve that counts supersedes that condition.
+    """
     total = weight = F.lit(0.0)
+    caps: list[Column] = []
+    known = superseded = F.lit(False)
     for reading, curve in readings.values():
-        total = total + F.coalesce(curve.value(reading) * curve.weight, F.lit(0.0))
-        weight = weight + F.when(reading.isNotNull(), curve.weight).otherwise(0.0)
-    mean = F.when(weight > 0, total / weight)
-    return F.least(mean, *caps) if caps else mean
+        counts = reading.isNotNull()
+        if curve.fallback_for in readings:
+            counts = counts & readings[curve.fallback_for][0].isNull()
+        known = known | counts
+        value = F.when(counts, curve.value(reading))
+        if curve.supersedes:
+            caps.append(value)
+            superseded = superseded | (counts & condition.isin(*curve.supersedes) if condition is not None else F.lit(False))
+        else:
+            total = total + F.coalesce(value * curve.weight, F.lit(0.0))
+            weight = weight + F.when(counts, curve.weight).otherwise(0.0)
+    mean = F.when(weight > 0, total / weight).otherwise(0.0)
+    for name, penalty in (penalties or {}).items():
+        if penalty < 0 and condition is not None:
+            caps.append(F.when((condition == name) & ~superseded, F.lit(float(penalty))))
+    return F.when(known, F.least(mean, *caps) if caps else mean)
+
+
+def weather_adjustment(value: Column, setting: Column, up: float = 0.15, down: float = 0.25) -> Column:
+    """The comfort scaled, for what takes place outdoors; zero elsewhere and where the weather is unknown."""
+    return F.when(setting == "outdoor", F.coalesce(F.when(value >= 0, value * up).otherwise(value * down), F.lit(0.0))).otherwise(0.0)
+
+
+def sample_hour(hours: Column, start: Column, timed: Column, usual: int = 20) -> Column:
+    """The reading of an array of structs with ``hour`` at the start's hour, or the usual one where no time is stated; null if there is none."""
+    wanted = F.when(timed, F.hour(start)).otherwise(usual)
+    return F.get(F.filter(hours, lambda h: h["hour"] == wanted), F.lit(0))
+
+
+def choose_readings(observed: Column, forecast: Column) -> Column:
+    return F.coalesce(observed, forecast)

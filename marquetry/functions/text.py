@@ -104,3 +104,31 @@ def clamp_weight(c: Column) -> Column:
     """Weights in [0, 1]; what is no number weighs one."""
     number = c.try_cast("double")
     return F.least(F.greatest(F.coalesce(F.when(~F.isnan(number), number), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+
+
+def title_key(c: Column) -> Column:
+    return F.lower(collapse(c))
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds below a minute, minutes below an hour, hours and minutes above."""
+    minutes = F.floor(seconds / 60)
+    return F.when(seconds < 60, F.concat(seconds.cast("bigint").cast("string"), F.lit("s"))).when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"))).when(seconds.isNotNull(), F.concat(F.floor(minutes / 60).cast("string"), F.lit("h"), F.lpad((minutes % 60).cast("string"), 2, "0"), F.lit("m")))
+
+
+@F.pandas_udf(StringType())
+def symbol_names(s: pd.Series) -> pd.Series:
+    """The Unicode names of a text's symbols in lower case."""
+    return s.map(lambda t: None if t is None else " ".join(unicodedata.name(ch).lower() for ch in t if unicodedata.category(ch) == "So" and unicodedata.name(ch, "")))
+
+
+def embedding_text(c: Column) -> Column:
+    """Without format characters, symbols, variation selectors and skin tones, blanks collapsed; a text of nothing else is told by its symbols' names."""
+    left = F.trim(F.regexp_replace(F.regexp_replace(c, r"[\p{Cf}\p{So}\x{FE00}-\x{FE0F}\x{1F3FB}-\x{1F3FF}]", ""), r"[\s\x{00A0}]+", " "))
+    return F.when(left != "", left).when(c.isNotNull(), symbol_names(F.when(left == "", c)))
+
+
+def image_type(c: Column) -> Column:
+    """The media type by the first bytes of a binary; JPEG where they say nothing."""
+    head = F.hex(F.substring(c, 1, 12))
+    return F.when(head.startswith("89504E470D0A1A0A"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("474946383761") | head.startswith("474946383961"), "image/gif").when(head.startswith("52494646") & F.substring(head, 17, 8).eqNullSafe(F.lit("57454250")), "image/webp").otherwise("image/jpeg")

@@ -86,3 +86,10 @@ def clock_window(spec: str) -> tuple[int, int]:
     if not (a < b <= 24 * 60) or int(m[2]) > 59 or int(m[4]) > 59:
         raise ValueError(f"no window: {spec}")
     return a, b
+
+
+def selected(key: Column, title: Column, selector: str) -> Column:
+    """``#`` and the beginning of a handle, or else a part of the title, in any case."""
+    if selector.startswith("#"):
+        return F.substring(F.sha1(key), 1, 7).startswith(selector[1:].lower())
+    return F.contains(F.lower(title), F.lit(selector.lower()))

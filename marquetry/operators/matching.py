@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from marquetry.functions.numeric import cosine
 from marquetry.functions.text import canonical_title, canonical_venue
-from marquetry.operators.lineage import materialise
+from marquetry.operators.lineage import discard, materialise
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -79,6 +79,7 @@ def fuzzy_pairs(pairs: DataFrame, least: float = 0.85) -> DataFrame:
 def clusters(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
     """(id, cluster): connected components by alternating stars; the cluster is its smallest id. A round is two aggregations, cut by written tables."""
     state = materialise(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "stars")
+    before = _sum_of(state)
     for _ in range(max_rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -87,12 +88,19 @@ def clusters(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFram
         small_low = large.groupBy("v").agg(F.min("u").alias("m"))
         hooked = large.join(small_low, "v").select(F.col("m").alias("u"), F.explode(F.array("v", "u")).alias("v")).where(F.col("u") != F.col("v")).distinct()
         new = materialise(hooked, "stars")
-        if new.exceptAll(state).isEmpty() and state.exceptAll(new).isEmpty():
+        if (now := _sum_of(new)) == before:
             return new.select(F.col("v").alias("id"), F.col("u").alias("cluster")).unionByName(new.select(F.col("u").alias("id"), F.col("u").alias("cluster")).distinct())
-        state = new
+        discard(state, large)
+        state, before = new, now
     raise RuntimeError("no fixed point")
 
 
+def _sum_of(pairs: DataFrame) -> tuple:
+    """The number of pairs and two sums of hashes of them; equal sets of pairs have equal ones."""
+    hashes = [F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(20,0)")) for seed in (1, 2)]
+    return tuple(pairs.agg(F.count(F.lit(1)), *hashes).first())
+
+
 def merge_clusters(rows: DataFrame, members: DataFrame, key: str, fields: list[str], created: str) -> DataFrame:
     """One row per cluster: the member with the fewest nulls (ties: earliest, then smaller key) wins, and each of its nulls is
     filled from the next best. ``min_by`` with a filter does it in one aggregation, so no cluster is gathered."""

@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquetry.operators.lineage import materialise
 
-def rank_all(df: DataFrame, group: str, score: str, tiebreak: str, buckets: int = 1000) -> DataFrame:
-    """Add ``rank``, 1..n within ``group`` by score descending, then ``tiebreak``; rows with a null or NaN score are left out.
 
-    A group of any size is ranked in parallel: rows are bucketed monotonically by score, buckets are counted, and a row's rank is its
-    position within its bucket behind the counts of the better ones. The counts are a row per group and bucket.
+def number_rows(df: DataFrame, *order: Column, name: str = "row") -> DataFrame:
+    """The rows, written once, with ``name``: 1..n in the given order over the whole table; the order must be a total one for the numbers to be settled.
+
+    Range partitions by a sample's quantiles, each sorted by itself, and the counts of those before: no task holds more than its range, and equal first
+    columns are split by the later ones. The counts are a row per partition.
+    """
+    slices = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    written = materialise(slices.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = written.groupBy(part.alias("__part")).agg((F.max(place) + 1).alias("__size"))
+    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))
+    return written.withColumn("__part", part).join(before, "__part").withColumn(name, F.col("__before") + place + 1).drop("__part", "__before", "__id")
+
+
+def rank_all(df: DataFrame, group: str, score: str, tiebreak: str) -> DataFrame:
+    """Add ``rank``, 1..n within ``group`` by score descending, then ``tiebreak``; rows with a null or NaN score are left out, a null group is one.
+
+    All rows are numbered by group, score and tiebreak, and a row's rank is its number less that of its group's first: a group of any size, or any number of equal
+    scores, is ranked in parallel.
     """
     good = df.where(F.col(score).isNotNull() & ~F.isnan(score))
-    bucket = F.floor(F.col(score) * buckets)
-    placed = good.withColumn("__bucket", bucket)
-    counts = placed.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(group).orderBy(F.desc("__bucket"))) - F.col("__n")).drop("__n")
-    inside = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(F.desc(score), tiebreak))
-    return placed.withColumn("__inside", inside).join(before, [group, "__bucket"]).withColumn("rank", (F.col("__before") + F.col("__inside")).cast("int")).drop("__bucket", "__inside", "__before")
+    numbered = number_rows(good, F.col(group).asc(), F.desc(score), F.col(tiebreak).asc(), name="__row")
+    first = numbered.groupBy(group).agg(F.min("__row").alias("__first"))
+    first = first.select(F.col(group).alias("__group"), "__first")
+    return numbered.join(first, F.col(group).eqNullSafe(F.col("__group"))).withColumn("rank", (F.col("__row") - F.col("__first") + 1).cast("int")).drop("__row", "__first", "__group")
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

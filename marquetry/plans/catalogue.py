@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquetry.functions import numeric as N
 from marquetry.functions import text as T
 from marquetry.functions import timing as M
-from marquetry.operators import matching, ranking, statistics, writes
+from marquetry.operators import matching, ranking, scoring, statistics, writes
 from marquetry.operators.lineage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +33,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def r6(c):
     """Six digits as most engines round a double: scaled, then to the nearest whole number, halves away from zero."""
-    return F.round(F.lit(1e6) * c) / F.lit(1e6)
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * 1e6) / 1e6
 
 
 # ranking and scoring
@@ -147,10 +146,11 @@ def scope_filter(spark, folder):
     return e.where(F.expr(f"CASE WHEN start_time IS NULL THEN created_at >= TIMESTAMP_NTZ '{NIGHT}' - INTERVAL 14 DAY ELSE start_time >= TIMESTAMP_NTZ '{NIGHT}' AND to_date(start_time) <= date_add(DATE '{NIGHT}', 10) END")).select("event_id", "start_time").distinct()
 
 
-@query(f"""SELECT id, discovered_at, source FROM (SELECT DISTINCT id, discovered_at, source, last_seen_at FROM event_candidates) WHERE last_seen_at >= TIMESTAMP '{NIGHT}' AND discovered_at < TIMESTAMP '{NIGHT}'""")
+@query(f"""SELECT DISTINCT event_id, start_time, created_at FROM stored_events WHERE start_time >= TIMESTAMP '{NIGHT}' OR (start_time IS NULL AND updated_at >= TIMESTAMP '{NIGHT}' - INTERVAL 60 DAY)""")
 def candidate_window(spark, folder):
-    c = table(spark, folder, "event_candidates").where(f"last_seen_at >= TIMESTAMP_NTZ '{NIGHT}' AND discovered_at < TIMESTAMP_NTZ '{NIGHT}'")
-    return c.select("id", "discovered_at", "source", "last_seen_at").distinct().select("id", "discovered_at", "source")
+    """Records that start from a time on, and those without a start that were seen lately."""
+    e = table(spark, folder, "stored_events").select("event_id", "start_time", "created_at", "updated_at")
+    return e.where(f"start_time >= TIMESTAMP_NTZ '{NIGHT}' OR (start_time IS NULL AND updated_at >= TIMESTAMP_NTZ '{NIGHT}' - INTERVAL 60 DAY)").select("event_id", "start_time", "created_at").distinct()
 
 
 _COS = "(sin(radians(-0.833)) - sin(radians(latitude)) * sin(radians(-23.44 * cos(radians(360.0 / 365.0 * (dayofyear(CAST(discovered_at AS DATE)) + 10)))))) / (cos(radians(latitude)) * cos(radians(-23.44 * cos(radians(360.0 / 365.0 * (dayofyear(CAST(discovered_at AS DATE)) + 10))))))"
@@ -269,10 +269,11 @@ def rekey_collapse(spark, folder):
 
 # references, sets and tallies
 
-@query("SELECT DISTINCT e.event_id, e.venue_id FROM stored_events e WHERE e.venue_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM venues v WHERE v.id = e.venue_id)")
+@query("SELECT DISTINCT o.event_id, o.source FROM extraction_observations o WHERE o.event_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM stored_events e WHERE e.event_id = o.event_id)")
 def orphan_check(spark, folder):
-    e = table(spark, folder, "stored_events").select("event_id", "venue_id").where("venue_id IS NOT NULL").distinct()
-    return e.join(table(spark, folder, "venues").select(F.col("id").alias("venue_id")).distinct(), "venue_id", "left_anti").select("event_id", "venue_id")
+    """Observations of events that are not there."""
+    o = table(spark, folder, "extraction_observations").select("event_id", "source").where("event_id IS NOT NULL").distinct()
+    return o.join(table(spark, folder, "stored_events").select("event_id").distinct(), "event_id", "left_anti").select("event_id", "source")
 
 
 @query("SELECT s.source, count(DISTINCT c.id) AS fetched, count(DISTINCT CASE WHEN c.title IS NOT NULL AND c.start_time IS NOT NULL THEN c.id END) AS accepted FROM source_zones s LEFT JOIN event_candidates c ON s.source = c.source GROUP BY 1")
@@ -298,11 +299,11 @@ def churn_by_source(spark, folder):
 
 
 @query("""WITH r AS (SELECT source, date_trunc('month', observed_at) AS run, count(*) AS seen, sum(CASE WHEN degradation IS NOT NULL OR backfilled THEN 1 ELSE 0 END) AS churned FROM extraction_observations WHERE source IS NOT NULL GROUP BY 1, 2)
-    SELECT source, sum(churned) AS evidence, count(*) AS runs, sum(churned) >= 20 AND count(*) >= 2 AS armed FROM r WHERE churned / seen >= 0.05 GROUP BY 1""")
+    SELECT source, sum(churned) AS evidence, count(*) AS runs, sum(churned) >= 8 AND count(*) >= 2 AS armed FROM r WHERE churned / seen >= 0.05 GROUP BY 1""")
 def latch(spark, folder):
     o = table(spark, folder, "extraction_observations").where("source IS NOT NULL").groupBy("source", F.date_trunc("month", "observed_at").alias("run"))
     runs = o.agg(F.count(F.lit(1)).alias("seen"), F.sum((F.col("degradation").isNotNull() | F.coalesce("backfilled", F.lit(False))).cast("bigint")).alias("churned"))
-    return statistics.latch(runs, "source", least_rate=0.05)
+    return statistics.latch(runs, "source", least_rate=0.05, least_evidence=8)
 
 
 _FRESH = f"created_at >= TIMESTAMP '{NIGHT}'"
@@ -355,23 +356,29 @@ def haversine_radius(spark, folder):
     return table(spark, folder, "venues").where(miles.isNull() | (miles <= 15)).select("id", F.round(miles, 4).alias("miles")).distinct()
 
 
-@query("SELECT source_type, min(source) AS source FROM source_zones GROUP BY 1 HAVING count(DISTINCT source) = 1")
+@query("""WITH one AS (SELECT tz_name, min(source) AS only_source FROM source_zones GROUP BY 1 HAVING count(DISTINCT source) = 1)
+    SELECT s.source, s.tz_name, o.only_source FROM source_zones s LEFT JOIN one o ON s.tz_name = o.tz_name""")
 def site_unambiguous(spark, folder):
-    return table(spark, folder, "source_zones").groupBy("source_type").agg(F.min("source").alias("source"), F.count_distinct("source").alias("n")).where("n = 1").drop("n")
+    """Each feed with the only feed of its zone, null where the zone has several."""
+    z = table(spark, folder, "source_zones").select("source", "tz_name")
+    one = z.groupBy("tz_name").agg(F.min("source").alias("only_source"), F.count_distinct("source").alias("n")).where("n = 1").drop("n")
+    return z.join(one, "tz_name", "left").select("source", "tz_name", "only_source")
 
 
-@query("SELECT DISTINCT e.id, e.handle FROM candidate_entities e WHERE e.llm_classification = 'venue' AND e.mention_count >= 3 AND EXISTS (SELECT 1 FROM (SELECT DISTINCT handle FROM candidate_entities WHERE depth = 0 UNION SELECT '@beacon') s WHERE list_contains(string_split(e.mention_sources, ','), s.handle))")
+@query("""WITH seeds AS (SELECT handle FROM candidate_entities WHERE depth = 0 UNION SELECT lower(unnest(regexp_extract_all(text, '@[A-Za-z0-9_.]+'))) FROM documents)
+    SELECT DISTINCT e.id, e.handle FROM candidate_entities e WHERE e.mention_count >= 3 AND EXISTS (SELECT 1 FROM seeds s WHERE list_contains(string_split(e.mention_sources, ','), s.handle))""")
 def promotion_evidence(spark, folder):
-    """Entities with three mentions and one by a seed."""
+    """Entities with three mentions and one by a seed: a handle of depth zero or one that a document names."""
     e = table(spark, folder, "candidate_entities")
-    seeds = e.where("depth = 0").select(F.col("handle").alias("m")).unionByName(table(spark, folder, "candidate_entities").sparkSession.createDataFrame([("@beacon",)], "m string")).distinct()
-    rows = e.where("llm_classification = 'venue' AND mention_count >= 3").select("id", "handle", F.explode(F.split("mention_sources", ",")).alias("m"))
+    named = table(spark, folder, "documents").where(F.col("text").contains("@")).select(F.explode(T.handles_in(F.col("text"))).alias("m"))
+    seeds = e.where("depth = 0").select(F.col("handle").alias("m")).unionByName(named).distinct()
+    rows = e.where("mention_count >= 3").select("id", "handle", F.explode(F.split("mention_sources", ",")).alias("m"))
     return rows.join(seeds, "m", "left_semi").select("id", "handle").distinct()
 
 
 # vectors
 
-_PREFS = "SELECT vec_id AS pid, embedding AS p, label % 2 AS side FROM embeddings WHERE vec_id < 16"
+_PREFS = "SELECT vec_id AS pid, embedding AS p, label % 2 AS side FROM embeddings WHERE vec_id % 50 = 0"
 
 
 def _dots(a: str, b: str) -> str:
@@ -381,80 +388,19 @@ def _dots(a: str, b: str) -> str:
 @query(f"""WITH s AS (SELECT vec_id, pid, side, {_dots('embedding', 'p')} / (sqrt({_dots('embedding', 'embedding')}) * sqrt({_dots('p', 'p')})) AS c FROM embeddings, ({_PREFS}))
     SELECT vec_id, side, round(max(c), 6) AS best, max(struct_pack(c := round(c, 9), n := -pid)).n * -1 AS pid FROM s GROUP BY 1, 2""")
 def best_preference(spark, folder):
-    """For each vector the most similar of sixteen preferences, per side; ties go to the first."""
+    """For each vector the most similar preference, per side, where every vector whose id is divisible by 50 is one; ties go to the first."""
     return _best(spark, folder).select("vec_id", "side", r6("c").alias("best"), "pid")
 
 
 def _best(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
-    prefs = [(r.vec_id, [float(x) for x in r.embedding], int(r.label) % 2) for r in e.where("vec_id < 16").orderBy("vec_id").collect()]  # the preferences: sixteen
-    entries = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("pid"), F.array(*[F.lit(x) for x in v]).alias("p"), F.lit(s).alias("side")) for i, v, s in prefs]))
-    met = e.select("vec_id", "embedding", entries.alias("x")).select("vec_id", F.col("x.pid").alias("pid"), F.col("x.side").alias("side"), N.cosine(F.col("embedding"), F.col("x.p")).alias("c"))
-    return met.groupBy("vec_id", "side").agg(F.max("c").alias("c"), (-F.max(F.struct(F.round("c", 9).alias("c"), (-F.col("pid")).alias("n")))["n"]).alias("pid"))
+    return best_of_all(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("p"), F.col("label").alias("l")))
 
 
-#: Preferences whose vectors are broadcast at once.
-PREFERENCE_BLOCK = 4_096
-
-
-@query()
-def best_preference_all(spark, folder):
-    """For each vector the most similar preference, per side, where every vector whose id is divisible by 50 is one; ties go to the first.
-
-    ``best_preference`` and ``similarity_score`` have the sixteen preferences of their SQL; here they grow with the table.
-    """
-    e = table(spark, folder, "embeddings")
-    prefs = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("p"), F.col("label").alias("l"))
-    return best_of_all(e, prefs).select("vec_id", "side", r6("c").alias("best"), "pid")
-
-
-def best_of_all(vectors: DataFrame, preferences: DataFrame, block: int = PREFERENCE_BLOCK) -> DataFrame:
-    """(vec_id, side, c, pid): the most similar of ``preferences(pid, p, l)`` for each row of ``vectors(vec_id, embedding)`` and side, which is the parity of ``l``.
-
-    Similarities are compared to nine digits, and equal ones go to the smaller pid; a zero vector has similarity zero. Null ids and vectors are left out.
-    Preferences are broadcast in blocks of ``block``, one after another, and the best of each block are merged, so the whole table meets all of them.
-    """
-    spark = vectors.sparkSession
-    prefs = materialise(preferences.where("pid IS NOT NULL AND p IS NOT NULL").select("pid", F.transform("p", lambda x: x.cast("double")).alias("p"), F.pmod("l", F.lit(2)).cast("int").alias("side")), "preferences")
-    blocks = max(1, -(-prefs.count() // block))
-    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
-    part = F.pmod(F.xxhash64("pid"), F.lit(blocks))
-    best = None
-    for b in range(blocks):
-        own = prefs.where(part == b).orderBy("pid").collect()  # about PREFERENCE_BLOCK rows
-        met = rows.mapInPandas(_nearest([(r.pid, r.p, r.side) for r in own], spark), "vec_id bigint, side int, c double, pid bigint")
-        best = materialise(_best_of(met if best is None else best.unionByName(met)), "best-preferences")
-    return best
-
-
-def _best_of(found: DataFrame) -> DataFrame:
-    order = F.struct(F.round("c", 9).alias("c"), (-F.col("pid")).alias("n"))
-    return found.groupBy("vec_id", "side").agg(F.max("c").alias("c"), F.max_by("pid", order).alias("pid"))
-
-
-def _nearest(preferences: list[tuple[int, list[float], int]], spark: SparkSession):
-    shared = spark.sparkContext.broadcast(preferences)
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-    def run(batches):
-        sides = {}
-        for pid, p, side in shared.value:
-            sides.setdefault(side, ([], []))[0].append(pid)
-            sides[side][1].append(p)
-        sides = {s: (np.array(ids), unit(np.array(v, float))) for s, (ids, v) in sides.items()}
-        for batch in batches:
-            for at in range(0, len(batch), 1_024):
-                some = batch.iloc[at : at + 1_024]
-                x = unit(np.stack(some.embedding.to_numpy()).astype(float))
-                for side, (ids, p) in sides.items():
-                    c = x @ p.T
-                    first = np.round(c, 9).argmax(axis=1)  # ids ascend, so the first of equal ones has the smallest
-                    yield pd.DataFrame({"vec_id": some.vec_id.to_numpy(), "side": side, "c": c.max(axis=1), "pid": ids[first]})
-
-    return run
+def best_of_all(vectors: DataFrame, preferences: DataFrame, block: int = scoring.PREFERENCE_BLOCK) -> DataFrame:
+    """(vec_id, side, c, pid): ``scoring.nearest`` of ``preferences(pid, p, l)`` for each row of ``vectors(vec_id, embedding)``; the side is the parity of ``l``."""
+    found = scoring.nearest(vectors.select(F.col("vec_id").alias("vid"), F.col("embedding").alias("v")), preferences.select("pid", "p", F.pmod("l", F.lit(2)).alias("side")), block)
+    return found.select(F.col("vid").alias("vec_id"), F.col("side").cast("int").alias("side"), "c", "pid")
 
 
 @query(f"""WITH s AS (SELECT vec_id, label, side, max({_dots('embedding', 'p')} / (sqrt({_dots('embedding', 'embedding')}) * sqrt({_dots('p', 'p')}))) AS c FROM embeddings, ({_PREFS}) GROUP BY 1, 2, 3),
@@ -471,12 +417,20 @@ def similarity_score(spark, folder):
     return k.groupBy("label").agg(r6(up - down).alias("balanced"), r6(F.avg("x")).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT id, tag, weight, v.vec_id FROM (SELECT DISTINCT id, unnest(tags).text AS tag, unnest(tags).weight AS weight FROM event_candidates) t LEFT JOIN (SELECT c_mktsegment AS k, min(c_custkey) AS vec_id FROM customer GROUP BY 1) v ON upper(t.tag) = v.k")
+_BUCKET = "CAST('0x' || substr(sha256({0}), 1, 16) AS UBIGINT) % (SELECT count(*) FROM embeddings)"
+
+
+def bucket_of(c, spark, folder):
+    """The entry of a text in the dictionary of vectors: a hash of it by the dictionary's size."""
+    return T.hash_bucket(c, table(spark, folder, "embeddings").count()).cast("bigint")
+
+
+@query(f"""SELECT t.id, t.tag, t.weight, v.vec_id, v.label FROM (SELECT DISTINCT id, unnest(tags).text AS tag, unnest(tags).weight AS weight FROM event_candidates) t LEFT JOIN (SELECT vec_id, label FROM embeddings WHERE label <> 9) v ON v.vec_id = {_BUCKET.format('t.tag')}""")
 def tag_vector_left_join(spark, folder):
-    """Tags with their entry of a dimension table, null where it has none."""
+    """Tags with their entry of the dictionary of vectors, null where it has none."""
     t = table(spark, folder, "event_candidates").select("id", F.explode("tags").alias("t")).select("id", F.col("t.text").alias("tag"), F.col("t.weight").alias("weight")).distinct()
-    v = table(spark, folder, "customer").groupBy(F.col("c_mktsegment").alias("k")).agg(F.min("c_custkey").alias("vec_id"))
-    return t.join(v, F.upper("tag") == F.col("k"), "left").select("id", "tag", "weight", "vec_id")
+    v = table(spark, folder, "embeddings").where("label <> 9").select("vec_id", "label")
+    return t.join(v, bucket_of(F.col("tag"), spark, folder) == F.col("vec_id"), "left").select("id", "tag", "weight", "vec_id", "label")
 
 
 # pair matching
@@ -562,18 +516,33 @@ def hash_folds(spark, folder):
     return observations(spark, folder).groupBy(T.hash_bucket(F.col("event_id"), 5).alias("fold")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(N.huber(r))).alias("loss"))
 
 
-@query(f"""SELECT cap, saturation, round(sum(CASE WHEN abs(r) <= 1.5 THEN 0.5 * r * r ELSE 1.5 * (abs(r) - 0.75) END), 6) AS loss FROM (SELECT cap, saturation, tags - cap * (1 - exp(-chars / saturation)) AS r
-    FROM ({_OBS}), (SELECT 1 + 0.5 * i AS cap FROM range(23) t(i)), (SELECT 20.0 * j AS saturation FROM range(1, 41) t(j))) GROUP BY 1, 2 ORDER BY loss, cap, saturation LIMIT 1""")
+def _grid_sql() -> str:
+    """The four grids of ``statistics.curve_fit``, one after the other."""
+    loss = "SELECT cap, saturation, round(sum(n * CASE WHEN abs(r) <= 1.5 THEN 0.5 * r * r ELSE 1.5 * (abs(r) - 0.75) END), 6) AS loss FROM (SELECT n, cap, saturation, tags - cap * (1 - exp(-chars / saturation)) AS r FROM h, {grid}) GROUP BY 1, 2"
+    best = "b{k} AS (SELECT cap, saturation, loss FROM ({found}) ORDER BY loss, old, cap, saturation LIMIT 1)"
+    parts = [f"h AS (SELECT chars, tags, count(*) AS n FROM ({_OBS}) WHERE chars > 0 GROUP BY 1, 2)", "g0 AS (SELECT 0.5 + 14.5 * i / 59 AS cap, 10.0 * pow(300.0, j / 59) AS saturation FROM range(60) a(i), range(60) b(j))"]
+    parts.append(best.format(k=0, found=f"SELECT *, 0 AS old FROM ({loss.format(grid='g0')})"))
+    for k, span in enumerate((0.5, 0.1, 0.02), 1):
+        low, high = f"greatest(0.5, cap - {span * 4})", f"least(15.0, cap + {span * 4})"
+        thin, wide = f"greatest(10.0, saturation * (1 - {span}))", f"least(3000.0, saturation * (1 + {span}))"
+        parts.append(f"g{k} AS (SELECT {low} + ({high} - {low}) * i / 39 AS cap, {thin} + ({wide} - {thin}) * j / 39 AS saturation FROM b{k - 1}, range(40) a(i), range(40) b(j))")
+        parts.append(best.format(k=k, found=f"SELECT *, 0 AS old FROM ({loss.format(grid=f'g{k}')}) UNION ALL SELECT *, -1 FROM b{k - 1}"))
+    return "WITH " + ", ".join(parts) + " SELECT round(cap, 3) AS cap, round(saturation, 1) AS saturation, round(loss, 4) AS loss FROM b3"
+
+
+@query(_grid_sql())
 def curve_grid_fit(spark, folder):
-    """The point of a coarse grid that fits tags to length best."""
-    return statistics.grid_fit(observations(spark, folder), "chars", "tags", [1 + 0.5 * i for i in range(23)], [20.0 * j for j in range(1, 41)])
+    """The curve that fits tags to length best: a grid of 60 by 60, then three finer ones around the best."""
+    cap, saturation, loss = statistics.curve_fit(observations(spark, folder), "chars", "tags") or (None, None, None)
+    one = spark.range(1).select(F.lit(cap).cast("double").alias("c"), F.lit(saturation).cast("double").alias("s"), F.lit(loss).cast("double").alias("l"))
+    return one.select((F.round(F.col("c") * 1000) / 1000).alias("cap"), (F.round(F.col("s") * 10) / 10).alias("saturation"), (F.round(F.col("l") * 1e4) / 1e4).alias("loss"))
 
 
 @query("""WITH n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
     b AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd FROM n WHERE i <= 30 GROUP BY 1 HAVING count(*) >= 30 AND stddev_pop(value) > 0),
     s AS (SELECT event_type, i, sum((value - m) / sd - 0.5) OVER w AS u, sum((value - m) / sd + 0.5) OVER w AS d FROM n JOIN b USING (event_type) WHERE i > 30 WINDOW w AS (PARTITION BY event_type ORDER BY i)),
-    h AS (SELECT event_type, i, u - least(0, min(u) OVER w) AS hi, d - greatest(0, max(d) OVER w) AS lo FROM s WINDOW w AS (PARTITION BY event_type ORDER BY i))
-    SELECT event_type, CAST(min(i) AS INTEGER) AS alarm_at, CASE WHEN min_by(hi, i) > 5 THEN 'up' ELSE 'down' END AS direction FROM h WHERE hi > 5 OR lo < -5 GROUP BY 1""")
+    h AS (SELECT event_type, i, u - least(0, min(u) OVER w) AS hi, d - greatest(0, max(d) OVER w) AS lo FROM s WINDOW w AS (PARTITION BY event_type ORDER BY i)), k AS (SELECT event_type, count(*) AS rows_there FROM events GROUP BY 1)
+    SELECT event_type, CAST(min(i) AS INTEGER) AS alarm_at, CASE WHEN min_by(hi, i) > 5 THEN 'up' ELSE 'down' END AS direction FROM h JOIN k USING (event_type) WHERE hi > 5 OR lo < -5 GROUP BY 1 HAVING max(rows_there) - min(i) + 1 >= 10""")
 def cusum_change(spark, folder):
     return statistics.cusum(table(spark, folder, "events"), "event_type", ["ts", "event_id"], "value")
 
@@ -660,7 +629,7 @@ def refit_gate(spark, folder):
 @query("""WITH n AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
     b AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd FROM n WHERE i <= 30 GROUP BY 1 HAVING count(*) >= 30 AND stddev_pop(value) > 0),
     s AS (SELECT event_type, i, sum((value - m) / sd - 0.5) OVER w AS u, sum((value - m) / sd + 0.5) OVER w AS d FROM n JOIN b USING (event_type) WHERE i > 30 WINDOW w AS (PARTITION BY event_type ORDER BY i)),
-    h AS (SELECT event_type, i, u - least(0, min(u) OVER w) AS hi, d - greatest(0, max(d) OVER w) AS lo FROM s WINDOW w AS (PARTITION BY event_type ORDER BY i)), c AS (SELECT event_type, min(i) AS a FROM h WHERE hi > 5 OR lo < -5 GROUP BY 1)
+    h AS (SELECT event_type, i, u - least(0, min(u) OVER w) AS hi, d - greatest(0, max(d) OVER w) AS lo FROM s WINDOW w AS (PARTITION BY event_type ORDER BY i)), k AS (SELECT event_type, count(*) AS rows_there FROM events GROUP BY 1), c AS (SELECT event_type, min(i) AS a FROM h JOIN k USING (event_type) WHERE hi > 5 OR lo < -5 GROUP BY 1 HAVING max(rows_there) - min(i) + 1 >= 10)
     SELECT n.event_type, n.event_id FROM n LEFT JOIN c ON n.event_type = c.event_type WHERE a IS NULL OR i >= a""")
 def drop_pre_change(spark, folder):
     """The readings of each type since its last change."""
