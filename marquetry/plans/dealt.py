@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.operators.references import failed_references
-from marquetry.operators.timestamps import CANONICAL, estimate_zones, normalise_fields, sequences
+from marquetry.operators.timestamps import CANONICAL, estimate_zones, normalise_fields, sequences, shared_starts, usual_spans, zone_histories
 
 TIME_FIELDS = ["start_time", "end_time", "raw_published_at"]
 
@@ -24,12 +24,24 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_zone_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    """The zone estimated for each source from the order of its listings' starts and ends, beside the declared one."""
-    zones = table(spark, folder, "source_zones")
-    candidates = [r[0] for r in zones.select("tz_name").distinct().limit(600).collect()]
-    readings = sequences(table(spark, folder, "event_candidates").select("source", "start_time", "end_time"), zones, candidates)
-    found = estimate_zones(readings, "source", "local", "other_us", candidates, "after")
-    return zones.select("source", "tz_name").join(found, "source", "left").select("source", F.col("tz_name").alias("declared_zone"), F.col("zone").alias("estimated_zone"), "violations", "readings")
+    """The zone estimated for each source from its listings' starts and ends and from what other feeds state, beside the declared one.
+
+    Candidates are all offset histories of the zone database in the years of the readings; where several read all of a source's readings alike, one that some feed
+    declares gives the name. ``agrees`` says whether the declared zone is among those; it is null where the readings do not tell.
+    """
+    zones = table(spark, folder, "source_zones").select("source", "tz_name", "date_order")
+    rows = table(spark, folder, "event_candidates").select("source", "start_time", "end_time", "discovered_at", "title", "venue")
+    years = rows.agg(F.min(F.year("discovered_at")).alias("a"), F.max(F.year("discovered_at")).alias("b")).first()
+    histories = zone_histories(years.a or 2025, (years.b or 2025) + 1)
+    named = {n: first for first, names in histories.items() for n in names}
+    declared = sorted(r.tz_name for r in zones.select("tz_name").distinct().collect() if r.tz_name in named)
+    usual = usual_spans(sequences(rows, zones, ["UTC"], alike=True))
+    readings = sequences(rows, zones, ["UTC"]).withColumn("same", F.lit(False)).unionByName(shared_starts(rows, zones, "title", "venue"))
+    found = estimate_zones(readings, "source", "local", "other_us", list(histories), "after", usual or {0: 1.0}, [named[d] for d in declared], "same")
+    history = F.try_element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), F.col("declared_zone"))
+    out = zones.select("source", F.col("tz_name").alias("declared_zone")).join(found, "source", "left").withColumn("agrees", F.array_contains("alike", history))
+    names = F.create_map(*[F.lit(x) for d in declared for x in (named[d], d)]) if declared else F.create_map().cast("map<string,string>")
+    return out.select("source", "declared_zone", F.when(F.col("agrees"), F.col("declared_zone")).otherwise(F.coalesce(F.try_element_at(names, F.col("zone")), F.col("zone"))).alias("estimated_zone"), "agrees", "violations", "readings")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ from marquetry.functions import text as T
 from marquetry.functions import timing as M
 from marquetry.operators import matching, ranking, statistics, writes
 from marquetry.operators.references import failed_references
-from marquetry.operators.timestamps import abbreviation_offsets, estimate_zones, normalise_fields, to_instants
+from marquetry.operators.timestamps import abbreviation_offsets, estimate_zones, normalise_fields, sequences, shared_starts, to_instants, usual_spans, zone_histories
 from marquetry.plans import catalogue
 
 UTC = dt.timezone.utc
@@ -233,3 +233,30 @@ def test_best_preference_meets_every_preference(spark):
         got = {(r.vec_id, r.side): (r.c, r.pid) for r in catalogue.best_of_all(df, prefs, block).collect()}
         assert {k: p for k, (_, p) in got.items()} == {k: -n for k, (_, n) in want.items()}
         assert all(abs(got[k][0] - c) < 1e-8 for k, (c, _) in want.items())
+
+
+def test_zones_withheld(spark):
+    """Zones are found from spans and from what other feeds state; where the readings do not tell there is none."""
+    from zoneinfo import ZoneInfo
+
+    rng = random.Random(7)
+    feeds = {"n": "America/New_York", "l": "Europe/London", "k": "Asia/Kolkata", "p": "America/Phoenix"}
+    rows = []
+    for f, zone in feeds.items():
+        for i in range(60):
+            at = dt.datetime(2025, 1 + i % 12, 1 + rng.randrange(27), 12 + rng.randrange(8), rng.choice([0, 30]), tzinfo=ZoneInfo(zone))
+            end = at + dt.timedelta(minutes=rng.choice([60, 90, 120, 120, 180]))
+            wall = lambda t: t.strftime("%Y-%m-%d %H:%M")
+            sure = lambda t: t.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+            rows += [(f, wall(at), [wall, sure][i % 2](end), f"Show {f}{i}", "Mill"), ("other", sure(at), sure(end), f"show {f}{i} ", "MILL")]
+    rows += [("thin", "2025-05-01 20:00", "2025-05-01T23:00:00Z", None, None), ("none", None, None, "x", "y")]
+    df = spark.createDataFrame(rows, "source string, start_time string, end_time string, title string, venue string")
+    zones = spark.createDataFrame([(f, None, "mdy") for f in (*feeds, "other", "thin", "none")], "source string, tz_name string, date_order string")
+    histories = zone_histories(2025, 2025)
+    usual = usual_spans(sequences(df, zones, ["UTC"], alike=True))
+    assert set(usual) == {60, 90, 120, 180} and abs(sum(usual.values()) - 1) < 1e-9
+    readings = sequences(df, zones, ["UTC"]).withColumn("same", F.lit(False)).unionByName(shared_starts(df, zones, "title", "venue"))
+    got = {r.source: (r.zone, r.alike) for r in estimate_zones(readings, "source", "local", "other_us", list(histories), "after", usual, None, "same").collect()}
+    for f, zone in feeds.items():
+        assert next(first for first, names in histories.items() if zone in names) in got[f][1]
+    assert got["thin"][0] is None and "none" not in got
