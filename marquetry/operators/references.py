@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquetry.operators.lineage import materialise
+
 #: Keys per range: the positions of one 4 KB bitmap of Spark's bitmap functions.
 RANGE = 32_768
 #: Keys aimed at per range, so that hashing leaves room.
@@ -25,7 +27,7 @@ def failed_references(refs: DataFrame, parents: DataFrame, purged: DataFrame) ->
     a recomputed task finds the same codes. For each range and period there is one bitmap of references and one of
     the parents there before the period; reference AND-NOT parent leaves the bits to decode, and only those are looked at by row.
     The one shuffle of the input is by range, after repeated references were reduced to one per key and month,
-    so a hot key is one row per month and field. No task holds more than a range.
+    so a hot key is one row per month and field; the coded rows are written once, and decoding looks only at those whose bit is open. No task holds more than a range.
     """
     month = F.date_format("at", "yyyy-MM")
     r = refs.where(F.col("key").isNotNull() & F.col("kind").isNotNull() & F.col("at").isNotNull())
@@ -46,17 +48,19 @@ def failed_references(refs: DataFrame, parents: DataFrame, purged: DataFrame) ->
     # more ranges than shuffle partitions or fewer: the exchange is by range either way
     code = F.dense_rank().over(Window.partitionBy("range").orderBy("kind", "key")) - 1
     coded = rows.withColumn("code", code).withColumn("part", F.floor(F.col("code") / RANGE).cast("int")).withColumn("bit", (F.col("code") % RANGE).cast("bigint"))
+    coded = materialise(coded.drop("kind", "code"), "coded-references")  # read twice: for the bitmaps, and to decode what they leave
 
     maps = coded.where(F.col("role") != "d").groupBy("range", "part", "role", "ref_table", "ref_field", "month").agg(F.bitmap_construct_agg("bit").alias("bits"))
     left = maps.groupBy("range", "part").applyInPandas(_and_not, "range int, part int, ref_table string, ref_field string, month string, bit bigint")
-    facts = coded.groupBy("range", "part", "bit").agg(
+    opened = left.groupBy("range", "part", "bit").agg(F.collect_list(F.struct("ref_table", "ref_field", "month")).alias("open"))
+    facts = coded.join(opened, ["range", "part", "bit"]).groupBy("range", "part", "bit").agg(
+        F.first("open").alias("open"),
         F.first("key", ignorenulls=True).alias("key"),
         F.min(F.when(F.col("role") == "p", F.col("at"))).alias("since"),
         F.max((F.col("role") == "d").cast("int")).alias("purged"),
         F.collect_list(F.when(F.col("role") == "r", F.struct("ref_table", "ref_field", "month", "at"))).alias("refs"),
     )
-    opened = left.groupBy("range", "part", "bit").agg(F.collect_list(F.struct("ref_table", "ref_field", "month")).alias("open"))
-    joined = facts.join(opened, ["range", "part", "bit"]).select("key", "since", "purged", "open", F.explode("refs").alias("x"))
+    joined = facts.select("key", "since", "purged", "open", F.explode("refs").alias("x"))
     failed = joined.where(F.array_contains("open", F.struct("x.ref_table", "x.ref_field", "x.month"))).where(F.col("since").isNull() | (F.col("since") > F.col("x.at")))
     reason = F.when(F.col("since").isNotNull(), "late").when(F.col("purged") == 1, "deleted").otherwise("missing")
     return failed.select(F.col("x.ref_table").alias("ref_table"), F.col("x.ref_field").alias("ref_field"), F.col("key").alias("ref_value"), F.col("x.month").alias("ref_month"), reason.alias("reason")).distinct()
