@@ -46,12 +46,16 @@ def length_bound(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
 
 
-def guarded_pairs(events: DataFrame, key: str, title: str, venue: str, start: str, hours: int = 2) -> DataFrame:
+#: Records of one venue and bucket that meet in one task.
+MEETING = 2_000
+
+
+def guarded_pairs(events: DataFrame, key: str, title: str, venue: str, start: str, hours: int = 2, meeting: int = MEETING) -> DataFrame:
     """(a, b, title_a, title_b): pairs with the same venue and starts at most ``hours`` apart; exact copies are collapsed first.
 
     Both venues or both starts may be null, which matches; one null doesn't. Copies with equal canonical title, venue and start
     are represented by the smallest key and come out as (representative, copy) with equal titles. Starts are bucketed, and a row meets its own bucket and the
-    next, so the join is on venue and bucket; a venue's copies meet no one but their representative.
+    next, so the join is on venue and bucket; one with more than ``meeting`` rows is joined in blocks. A venue's copies meet no one but their representative.
     """
     rows = events.select(F.col(key).alias("id"), canonical_title(F.col(title)).alias("t"), canonical_venue(F.col(venue)).alias("v"), F.col(start).cast("timestamp").cast("long").alias("s")).distinct()
     rows = materialise(rows, "guarded")
@@ -59,11 +63,23 @@ def guarded_pairs(events: DataFrame, key: str, title: str, venue: str, start: st
     copies = rows.alias("x").join(same.alias("y"), F.col("x.t").eqNullSafe(F.col("y.t")) & F.col("x.v").eqNullSafe(F.col("y.v")) & F.col("x.s").eqNullSafe(F.col("y.s")))
     copies = copies.where("x.id <> y.rep").select(F.col("y.rep").alias("a"), F.col("x.id").alias("b"), F.col("x.t").alias("title_a"), F.col("x.t").alias("title_b"))
     width = hours * 3600
-    reps = same.select(F.col("rep").alias("id"), "t", "v", "s", F.coalesce("v", F.lit("\0")).alias("g"), F.coalesce(F.floor(F.col("s") / width), F.lit(-1 << 40)).alias("k"))
-    probe = reps.withColumn("k", F.explode(F.array("k", F.col("k") + 1)))
-    met = reps.alias("x").join(probe.alias("y"), ["g", "k"])
+    g, k = F.xxhash64(F.coalesce("v", F.lit("\0"))), F.coalesce(F.floor(F.col("s") / width), F.lit(-1 << 40))
+    reps = same.select(F.col("rep").alias("id"), "t", "v", "s", g.alias("g"), k.alias("k"))
+    # a crowded venue and bucket, such as that of rows without either, is joined in blocks: every two blocks meet in a task of their own
+    crowd = reps.groupBy("g", "k").agg(F.ceil(F.count(F.lit(1)) / meeting).cast("int").alias("blocks"))
+    placed = reps.join(crowd, ["g", "k"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    after = crowd.select("g", (F.col("k") - 1).alias("k"), F.col("blocks").alias("next"))
+    left = placed.join(after, ["g", "k"], "left")
+    own = left.select("*", F.lit(0).alias("step"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    across = left.where("next IS NOT NULL").select("*", F.lit(1).alias("step"), F.explode(F.sequence(F.lit(0), F.col("next") - 1)).alias("j"))
+    asks = own.unionByName(across).select("id", "t", "v", "s", "g", (F.col("k") + F.col("step")).alias("k"), "step", "i", "j")
+    before = crowd.select("g", (F.col("k") + 1).alias("k"), F.col("blocks").alias("last"))
+    right = placed.join(before, ["g", "k"], "left").withColumn("j", F.col("i")).drop("i")
+    answers = right.select("*", F.lit(0).alias("step"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).unionByName(right.where("last IS NOT NULL").select("*", F.lit(1).alias("step"), F.explode(F.sequence(F.lit(0), F.col("last") - 1)).alias("i")))
+    met = asks.alias("x").join(answers.alias("y"), ["g", "k", "step", "i", "j"])
     near = (F.col("x.s").isNull() & F.col("y.s").isNull()) | (F.abs(F.col("x.s") - F.col("y.s")) <= width)
-    met = met.where((F.col("x.id") != F.col("y.id")) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.col("x.id") < F.col("y.id"), F.col("x.t")).otherwise(F.col("y.t")).alias("title_a"), F.when(F.col("x.id") < F.col("y.id"), F.col("y.t")).otherwise(F.col("x.t")).alias("title_b"))
+    once = F.when(F.col("step") == 0, F.col("x.id") < F.col("y.id")).otherwise(F.col("x.id") != F.col("y.id")) & F.col("x.v").eqNullSafe(F.col("y.v"))
+    met = met.where(once & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.col("x.id") < F.col("y.id"), F.col("x.t")).otherwise(F.col("y.t")).alias("title_a"), F.when(F.col("x.id") < F.col("y.id"), F.col("y.t")).otherwise(F.col("x.t")).alias("title_b"))
     return met.distinct().unionByName(copies)
 
 

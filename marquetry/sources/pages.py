@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquetry.operators.lineage import materialise
+
 
 def parse_bodies(bodies: DataFrame, parse: Callable[[str], list[dict]], fields: list[str]) -> DataFrame:
     """One row (source, position, ``fields``...) of strings per record ``parse`` finds; a body that can't be read gives none."""
@@ -90,18 +92,24 @@ class _Microdata(HTMLParser):
 
     def __init__(self):
         super().__init__()
-        self.found, self.depth, self.event, self.prop = [], 0, None, None
+        self.found, self.depth, self.event, self.prop, self.scopes = [], 0, None, None, []
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        name = a.get("itemprop")
         if "schema.org/Event" in (a.get("itemtype") or "") and self.event is None:
             self.event = (self.depth, {})
-        elif self.event and a.get("itemprop"):
-            value = a.get("content") or a.get("datetime") or (a.get("href") if a["itemprop"] == "url" else None)
-            if value:
-                self.event[1].setdefault(a["itemprop"], value)
-            else:
-                self.prop = (self.depth, a["itemprop"], [])
+        elif self.event:
+            # a property belongs to the innermost item around it; that of a nested item stands under the item's own name
+            path = ".".join([s[1] for s in self.scopes if s[1]] + [name]) if name else None
+            if name and "itemscope" not in a:
+                value = a.get("content") or a.get("datetime") or (a.get("href") if name == "url" else None)
+                if value:
+                    self.event[1].setdefault(path, value)
+                elif tag not in self.VOID:
+                    self.prop = (self.depth, path, [])
+            if "itemscope" in a and tag not in self.VOID:
+                self.scopes.append((self.depth, name))
         if tag not in self.VOID:
             self.depth += 1
 
@@ -118,11 +126,14 @@ class _Microdata(HTMLParser):
             if text and self.event:
                 self.event[1].setdefault(self.prop[1], text)
             self.prop = None
+        while self.scopes and self.depth <= self.scopes[-1][0]:
+            self.scopes.pop()
         if self.event and self.depth <= self.event[0]:
             e = self.event[1]
             if e.get("url") and e.get("startDate"):
-                self.found.append({"name": e.get("name"), "start": e["startDate"], "end": e.get("endDate"), "url": e["url"], "venue": e.get("location"), "address": e.get("address"), "description": e.get("description")})
-            self.event = None
+                address = e.get("location.address") or ", ".join(v for k, v in e.items() if k.startswith("location.address.")) or e.get("address")
+                self.found.append({"name": e.get("name"), "start": e["startDate"], "end": e.get("endDate"), "url": e["url"], "venue": e.get("location.name") or e.get("location"), "address": address or None, "description": e.get("description")})
+            self.event, self.scopes = None, []
 
 
 def microdata_events(body: str) -> list[dict]:
@@ -168,18 +179,60 @@ def union_sources(frames: list[DataFrame], key: str | None = None) -> DataFrame:
     return out.drop("__place")
 
 
-def failover(readers: list[Callable[[], DataFrame]]) -> DataFrame | None:
-    """The first reader that does not raise, even if it has no rows; null if all raise."""
+def failover(readers: list[Callable[[], DataFrame]], failed: list[Exception] | None = None) -> DataFrame | None:
+    """The first reader whose whole result can be read and written, even if it has no rows; null if all fail.
+
+    The result is a written table, so a source that fails later than its first row fails here and the next one is asked. What a reader raised is added to ``failed``.
+    """
     for read in readers:
         try:
-            df = read()
-            df.limit(1).collect()
-            return df
-        except Exception:  # noqa: BLE001, S112
-            continue
+            return materialise(read(), "source")
+        except Exception as problem:  # noqa: BLE001  (any failure of a source means the next one)
+            if failed is not None:
+                failed.append(problem)
     return None
 
 
+def union_read(readers: dict[str, Callable[[], DataFrame]], failed: dict[str, Exception], key: str | None = None) -> DataFrame | None:
+    """``union_sources`` over the readers that do not fail; those that do are named in ``failed`` with what they raised and passed over. Null if none is left."""
+    frames = []
+    for name, read in readers.items():
+        problems: list[Exception] = []
+        if (df := failover([read], problems)) is None:
+            failed[name] = problems[0]
+        else:
+            frames.append(df)
+    return union_sources(frames, key) if frames else None
+
+
+def in_window(items: DataFrame, start: str, floor, ceiling) -> DataFrame:
+    """Items that start within [floor, ceiling); what could not be interpreted, without a start, is left out."""
+    return items.where((F.col(start) >= F.lit(floor)) & (F.col(start) < F.lit(ceiling)))
+
+
+def titled_dates(items: DataFrame, title: str = "title", body: str = "body", zone: str = "UTC", usual_hour: int = 4) -> DataFrame:
+    """Add start, timing and venue to items that carry their date in the title (``6/14/25 - Name``) and time and place in the text (``at 7pm at the Old Mill``).
+
+    Without a time it is ``usual_hour`` with the timing unknown. Items without a date in the title get a null start.
+    """
+    part = lambda i: F.regexp_extract(title, r"\b(\d{1,2})/(\d{1,2})/(\d{2}(?:\d{2})?)\b", i).try_cast("int")
+    text = F.regexp_replace(F.col(body), r"<[^>]+>", " ")
+    clock = lambda i: F.regexp_extract(text, r"(?i)\bat (\d{1,2})(?::(\d{2}))? ?([ap])\.?m", i)
+    hour = F.when(clock(3) != "", clock(1).try_cast("int") % 12 + F.when(F.lower(clock(3)) == "p", 12).otherwise(0))
+    year = F.when(part(3) < 100, part(3) + 2000).otherwise(part(3))
+    named = {"__y": year, "__mo": part(1), "__d": part(2), "__h": F.coalesce(hour, F.lit(usual_hour)), "__mi": F.when(hour.isNotNull(), F.coalesce(clock(2).try_cast("int"), F.lit(0))).otherwise(0)}
+    out = items.withColumns(named).withColumn("start", F.to_utc_timestamp(F.expr("try_make_timestamp(__y, __mo, __d, __h, __mi, CAST(0 AS DECIMAL(16, 6)))"), zone))
+    venue = F.nullif(F.trim(F.regexp_extract(text, r"(?i)\bat \d{1,2}(?::\d{2})? ?[ap]\.?m\.?,? (?:at|@|in) (?:the )?([^.,;<\n]{3,60})", 1)), F.lit(""))
+    return out.withColumns({"timing": F.when(hour.isNotNull(), "exact").otherwise("unknown"), "venue": venue}).drop(*named)
+
+
+def preambles(items: DataFrame, body: str = "body") -> DataFrame:
+    """Add venue, organisation, address and prose to items whose text begins with four lines: a heading, venue, organisation and address; blank lines do not count."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.col(body), r"(?i)<br ?/?>|</p>", "\n"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"<[^>]+>", ""))), lambda x: x != "")
+    at = lambda i: F.when(F.size(lines) >= 4, F.get(lines, F.lit(i)))
+    return items.withColumns({"venue": at(1), "organisation": at(2), "address": at(3), "prose": F.array_join(F.when(F.size(lines) >= 4, F.slice(lines, 5, 1 << 20)).otherwise(lines), "\n")})
+
+
 def preferences(lines: DataFrame, file: str, position: str, text: str) -> DataFrame:
     """(file, position, domain, preference, hash) of preference files: ``#`` comments, ``[domain]`` headings carried forward, one preference a line, the first of repeats."""
     clean = lines.select(F.col(file).alias("file"), F.col(position).alias("position"), F.trim(text).alias("t")).where((F.length("t") > 0) & ~F.col("t").startswith("#"))

@@ -260,3 +260,20 @@ def test_zones_withheld(spark):
     for f, zone in feeds.items():
         assert next(first for first, names in histories.items() if zone in names) in got[f][1]
     assert got["thin"][0] is None and "none" not in got
+
+
+def test_crowded_guards(spark):
+    """Rows without venue or start, and those of one busy venue, meet in blocks; the pairs are those of brute force."""
+    rng = random.Random(3)
+    t0 = dt.datetime(2025, 6, 1)
+    rows = [(f"i{k:03}", f"t{k % 17}", None, None) for k in range(40)] + [(f"j{k:03}", f"t{k % 11}", "Mill", t0 + dt.timedelta(minutes=30 * rng.randrange(40))) for k in range(60)] + [(f"k{k}", "t", "Mill", None) for k in range(3)]
+    df = spark.createDataFrame(rows, "id string, title string, venue string, start timestamp")
+    first: dict = {}
+    for i, t, v, s in sorted(rows):
+        first.setdefault((t, v, s), i)
+    reps = [r for r in rows if first[r[1:]] == r[0]]
+    near = lambda a, b: a[2] == b[2] and ((a[3] is None and b[3] is None) or (a[3] is not None and b[3] is not None and abs((a[3] - b[3]).total_seconds()) <= 7200))
+    want = {(a[0], b[0]) for a in reps for b in reps if a[0] < b[0] and near(a, b)} | {(first[r[1:]], r[0]) for r in rows if first[r[1:]] != r[0]}
+    for meeting in (5, 2_000):
+        got = [(r.a, r.b) for r in matching.guarded_pairs(df, "id", "title", "venue", "start", meeting=meeting).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from marquetry.sources import pages
 from marquetry.sources.calendars import content_line, events_in, read_calendars, split_summary, unfold
 from marquetry.sources.pages import EVENT_FIELDS, LISTING_FIELDS, RSS_FIELDS, failover, hourly_readings, jsonld_events, listing_lines, microdata_events, parse_bodies, preferences, rss_items, union_sources
 from marquetry.streaming.windows import latch_stream, night_counts
@@ -97,3 +98,32 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.p, r.evidence, r.runs, r.armed) for r in spark.table("latched").where(F.col("p") == "s").collect()} == {("s", 21, 2, True)}
+
+
+def test_nested_places_and_failing_sources(spark):
+    page = """<div itemscope itemtype="http://schema.org/Event"><div itemprop="location" itemscope itemtype="http://schema.org/Place"><span itemprop="name">Old Mill</span>
+      <div itemprop="address" itemscope><span itemprop="streetAddress">1 Elm St</span><span itemprop="addressLocality">Holt</span></div></div>
+      <h2 itemprop="name">Jazz Night</h2><a itemprop="url" href="/j">x</a><meta itemprop="startDate" content="2025-06-01T20:00"></div>
+      <div itemscope itemtype="http://schema.org/Event"><h2 itemprop="name">Folk</h2><span itemprop="location">Barn</span><a itemprop="url" href="/f">x</a><time itemprop="startDate" datetime="2025-06-02">x</time></div>"""
+    got = [(e["name"], e["venue"], e["address"]) for e in pages.microdata_events(page)]
+    assert got == [("Jazz Night", "Old Mill", "1 Elm St, Holt"), ("Folk", "Barn", None)]
+
+    def broken():
+        return spark.range(5).selectExpr("CAST(id AS STRING) AS id", "IF(id = 4, raise_error('late'), 1) AS n")
+
+    def good():
+        return spark.sql("SELECT 'a' AS id, 1 AS n")
+
+    failed: dict = {}
+    assert [r.id for r in pages.union_read({"bad": broken, "good": good}, failed).collect()] == ["a"] and list(failed) == ["bad"]
+    assert pages.failover([broken, good]).count() == 1 and pages.failover([broken]) is None and pages.union_read({}, {}) is None
+
+
+def test_items_with_dates_in_titles_and_preambles(spark):
+    items = spark.createDataFrame([("6/14/25 - Owls", "<p>Music at 7:30pm at the Old Mill. Bring friends</p>"), ("7/4/2025 Parade", "All day"), ("No date", "at 8pm"), ("13/40/25 x", None)], "title string, body string")
+    rows = [(str(r.start), r.timing, r.venue) for r in pages.titled_dates(items, zone="America/New_York").collect()]
+    assert rows == [("2025-06-14 23:30:00", "exact", "Old Mill"), ("2025-07-04 08:00:00", "unknown", None), ("None", "exact", None), ("None", "unknown", None)]
+    kept = pages.in_window(pages.titled_dates(items), "start", dt.datetime(2025, 7, 1), dt.datetime(2025, 8, 1))
+    assert [r.title for r in kept.collect()] == ["7/4/2025 Parade"]
+    pre = pages.preambles(spark.createDataFrame([("Event<br>Main Hall<br/>Library<br>1 Elm St<br><b>Come</b> in<br>Free",), ("Short",)], "body string")).collect()
+    assert [(r.venue, r.organisation, r.address, r.prose) for r in pre] == [("Main Hall", "Library", "1 Elm St", "Come in\nFree"), (None, None, None, "Short")]
