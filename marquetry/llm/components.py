@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.operators.lineage import materialise
+from marquetry.operators.lineage import discard, materialise
 
 #: Distinct edges aimed at per grid cell.
 CELL_EDGES = 250_000
@@ -25,7 +25,7 @@ def components(edges: DataFrame, a: str, b: str, cell_edges: int = CELL_EDGES, m
     row and a column of cells. Each cell runs a union-find of its own and gives every vertex its local representative. A vertex meets the
     representatives of its row and column, links them to the smallest, and is itself linked to what each of them moved to. Those links are the next round's edges; it is over when no vertex has two representatives.
     Links to a representative that stays need no exchange, so the members of a large finished group are not joined
-    again; where a large one moves, the adaptive skew join splits it. Rounds are cut by written tables.
+    again; where a large one moves, the adaptive skew join splits it. Rounds are cut by written tables, of which the last round's are kept.
     """
     links = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     state = materialise(links.distinct(), "links")
@@ -37,12 +37,14 @@ def components(edges: DataFrame, a: str, b: str, cell_edges: int = CELL_EDGES, m
         met = materialise(local, "met")
         known = materialise(met.groupBy("v").agg(F.min("rep").alias("low"), F.max("rep").alias("high")), "reps")
         if known.where("low < high").isEmpty():
+            discard(state, met)
             return known.select(F.col("low").alias("group_id"), F.col("v").alias("record_id"))
         moved = known.where("low < v").select(F.col("v").alias("rep"), F.col("low").alias("to"))
         followed = met.join(moved, "rep", "left").select(F.coalesce("to", "rep").alias("u"), "v")
         torn = known.where("low < high").select("v", F.col("low").alias("u"))
         hooked = met.join(torn, "v").select("u", F.col("rep").alias("v"))
-        state = materialise(followed.unionByName(hooked).where(F.col("u") != F.col("v")).distinct(), "links")
+        before, state = state, materialise(followed.unionByName(hooked).where(F.col("u") != F.col("v")).distinct(), "links")
+        discard(before, met, known)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marquetry.llm.components import components
 from marquetry.llm.smallworld import SmallWorld
-from marquetry.operators.lineage import delete_folder, materialise
+from marquetry.operators.lineage import delete_folder, discard, materialise
 from marquetry.session import shared_folder
 
 #: Starts at most so far apart can be one happening.
@@ -436,6 +436,7 @@ class ListingIndex:
         placed = materialise(self._placed(canonical, links, reach), "placed")
         graph = built.drop("a", "b").withColumn("batch", F.lit(self.batch))
         graph.write.mode("append").partitionBy("segment", "batch").parquet(f"{self.path}/graphs")
+        discard(canonical, first, built, probes, asked, links)
         placed.withColumn("segment", segment).write.mode("append").partitionBy("segment", "batch").parquet(f"{self.path}/members")
         self._commit()
         if self.compact_at and (small := self._small(sorted(counts))):
@@ -507,6 +508,7 @@ class ListingIndex:
         spread = _tasks(bins.select("segment", "bin").distinct().count())
         merged = materialise(rows.repartition(spread, "segment", "shard").groupBy("segment", "shard").applyInArrow(_build(self.window_us, False), _GRAPH), "compacted")
         merged.withColumn("batch", F.lit(self.batch)).write.mode("append").partitionBy("segment", "batch").parquet(f"{self.path}/graphs")
+        discard(merged)
         self._commit(small)
         for s, b in small:
             delete_folder(self.spark, f"{self.path}/graphs/segment={s}/batch={b}")
