@@ -91,10 +91,10 @@ def parse(tokens: list[str], towns: dict[str, frozenset[str]]) -> dict[str, str]
     is_unit = lambda j: 0 <= j < len(words) and words[j] in UNITS
 
     def is_state(j: int) -> bool:
-        """A state stands at the end, before a separator, a postal code or the country; elsewhere such a word is an ordinary one, and behind a number it is a floor."""
+        """A state stands at the end, before a separator, a number or the country; elsewhere such a word is an ordinary one, and behind a number it is a floor."""
         if words[j] in UNITS and j and (words[j - 1] in _ORDINAL or words[j - 1] in _NUMBER or words[j - 1][0].isdigit()):
             return False
-        return words[j] in _STATE and (j + 1 == len(words) or not is_word(words[j + 1]) or words[j + 1] == "usa" or bool(re.fullmatch(r"\d{5}", words[j + 1])))
+        return words[j] in _STATE and (j + 1 == len(words) or not is_word(words[j + 1]) or words[j + 1] == "usa" or words[j + 1] in _NUMBER or words[j + 1].isdigit())
 
     def leads_to_type(j: int) -> bool:
         for k in range(j + 1, min(j + 6, len(words))):

@@ -35,6 +35,7 @@ def test_unreadable(address):
         ("12 Sycamore St", "sycamore", "", "", ""),
         ("10 Main St, Boston", "main", "boston", "", ""),
         ("10 Main St, Boston, MA 02110", "main", "boston", "02110", "ma"),
+        ("01013 hexpool nh seven ninth avenue", "9th", "hexpool", "01013", "nh"),
         ("10 Main St, N.H.", "main", "", "", "nh"),
         ("12 N C St, Boston", "c", "boston", "", ""),
         ("12 La Salle Ave, Boston, Mass.", "la salle", "boston", "", "ma"),
