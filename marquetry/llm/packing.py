@@ -151,14 +151,15 @@ def _offers(bins: list[list[int]], sizes: list[int], fill: np.ndarray, loose: li
 def _taker(table: tuple[np.ndarray, ...], n: int, giver: int, fill: np.ndarray, fresh: np.ndarray) -> tuple[int, tuple[int, ...]] | None:
     """The container that takes an item of size ``n`` and is left with the least room, and the sizes it gives back; null if no exchange lets the squared fills grow."""
     reach, returned, bin_, one, two = table
-    at, step = int(np.searchsorted(reach, n)), 64
+    at, step = int(reach.searchsorted(n)), 16
     filled = int(fill[giver])
     while at < len(reach):
         part = slice(at, at + step)
-        b = bin_[part]
-        good = fresh[b] & (b != giver) & (returned[part] < n) & (fill[b] - returned[part] > filled - n)
-        if good.any():
-            k = at + int(good.argmax())
+        b, back = bin_[part], returned[part]
+        good = fresh[b] & (b != giver) & (back < n) & (fill[b] - back > filled - n)
+        first = int(good.argmax())
+        if good[first]:
+            k = at + first
             return int(bin_[k]), tuple(int(m) for m in (one[k], two[k]) if m >= 0)
         at, step = at + step, step * 4
     return None
