@@ -34,13 +34,6 @@ class SmallWorld:
         graph._enter()
         return graph
 
-    @classmethod
-    def of(cls, x: np.ndarray, links: int = 12, beam: int = 24) -> SmallWorld:
-        graph = cls(x.shape[1], len(x), links, beam)
-        for _ in graph.insert(x):
-            pass
-        return graph
-
     def _enter(self) -> None:
         count = min(self.n, max(64, int(4 * self.n**0.5)))
         self.entries = np.unique(np.linspace(0, self.n - 1, count).astype(int)) if self.n else np.empty(0, int)
